@@ -206,10 +206,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
         w += step / max(1.0, float(np.abs(step).max()) / 4)
         if np.abs(step).max() < 1e-8:
             break
-    if w[1] < 0 or w[2] < 0:
-        k = 1 if w[1] > 0 else 2
-        sub = _logistic(x[:, [0, k]], y, ridge) if x.shape[1] == 3 else [float(w[0]), max(0.0, float(w[1]))]
-        w = np.array([sub[0], sub[1] if k == 1 else 0.0, sub[1] if k == 2 else 0.0]) if x.shape[1] == 3 else np.array(sub)
+    if (w[1:] < 0).any():
+        keep = np.concatenate([[True], w[1:] > 0])
+        w[~keep], w[keep] = 0.0, _logistic(x[:, keep], y, ridge)
     return [float(v) for v in w]
 
 
