@@ -1,6 +1,360 @@
-"""The registered queries over the benchmark tables, with the SQL each must agree with."""
+"""The registered queries over the benchmark tables, with the SQL each must agree with.
+
+All tables are read whole. Positions are the dense 0-based keys: vec_id and k of embeddings, event_id, o_orderkey, p_partkey, c_custkey.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import grid as G
+from ..functions.key import canonical, key_column
+from ..operators import means
+from ..operators.block import Block
+from ..operators.cube import Cube
+from ..sources.template import discover
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(name: str) -> F.Column:
+    return F.round(F.col(name), 6).alias(name)
+
+
+EMB = "e AS (SELECT vec_id, CAST(k - 1 AS BIGINT) AS k, CAST(embedding[k] AS DOUBLE) AS v, label FROM (SELECT vec_id, embedding, label, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings))"
+
+
+def vectors(spark: SparkSession, sf_dir: str, chunks=None) -> Cube:
+    """embeddings as v(vec_id, k)."""
+    cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v")).withColumn("v", F.col("v").cast("double"))
+    return Cube.from_dataframe(cells, ["vec_id", "k"], ["v"], chunks=chunks or {"vec_id": 50, "k": -1})
+
+
+def events(spark: SparkSession, sf_dir: str, chunks=1000) -> Cube:
+    """events as value(event_id), user_id(event_id)."""
+    return Cube.from_dataframe(table(spark, sf_dir, "events"), ["event_id"], ["value", "user_id"], chunks=chunks)
+
+
+def days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events gridded by day, hour and type: total and n of the cells that have events."""
+    e = table(spark, sf_dir, "events")
+    first = e.agg(F.min(F.to_date("ts")).alias("d0"))
+    kinds = e.select("event_type").distinct().selectExpr("event_type", "row_number() OVER (ORDER BY event_type) - 1 AS kind")
+    placed = e.join(F.broadcast(first), F.lit(True)).join(F.broadcast(kinds), "event_type").select(F.datediff(F.to_date("ts"), "d0").cast("long").alias("day"), F.hour("ts").cast("long").alias("hour"), F.col("kind").cast("long").alias("kind"), "value")
+    return placed.groupBy("day", "hour", "kind").agg(F.sum("value").alias("total"), F.count("*").cast("double").alias("n"))
+
+
+DAYS = """k AS (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS BIGINT) AS kind FROM (SELECT DISTINCT event_type FROM events)),
+d AS (SELECT CAST(date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) AS BIGINT) AS day, CAST(hour(ts) AS BIGINT) AS hour, kind,
+      sum(value) AS total, CAST(count(*) AS DOUBLE) AS n FROM events JOIN k USING (event_type) GROUP BY 1, 2, 3)"""
+
+# ---- keys and chunk geometry ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id - event_id % 1000 AS event_id_offset, count(*) AS cells FROM events GROUP BY 1")
+def chunk_keys_events(spark, sf_dir):
+    return events(spark, sf_dir).chunk_table()
+
+
+@query("SELECT event_id, event_id // 1000 AS chunk FROM events")
+def chunk_index(spark, sf_dir):
+    return events(spark, sf_dir).df.select("event_id", G.index_of(F.col("event_id"), 1000).alias("chunk"))
+
+
+@query(f"WITH {EMB}, n AS (SELECT CAST(ceil(max(k + 1) / 8.0) AS BIGINT) AS w FROM e) SELECT (vec_id // 50) * w + k // 8 AS number, count(*) AS cells FROM e, n GROUP BY 1")
+def chunk_number_2d(spark, sf_dir):
+    c = vectors(spark, sf_dir, {"vec_id": 50, "k": 8})
+    return c.df.groupBy(G.number_of({d: F.col(d) for d in ("vec_id", "k")}, c.chunks, c.sizes).alias("number")).agg(F.count("*").alias("cells"))
+
+
+@query("WITH g AS (SELECT unnest(range(0, (SELECT CAST(max(event_id) + 1 AS BIGINT) FROM events), 1000)) AS o) SELECT o AS event_id_offset, least(1000, (SELECT max(event_id) + 1 FROM events) - o) AS size FROM g")
+def expanded_chunks(spark, sf_dir):
+    n = events(spark, sf_dir).sizes["event_id"]
+    return spark.range(0, n, 1000).select(F.col("id").alias("event_id_offset"), F.least(F.lit(1000).cast("long"), F.lit(n) - F.col("id")).alias("size"))
+
+
+@query("SELECT event_id - event_id % 700 AS o, event_id % 700 AS within, value FROM events WHERE event_id >= 700 AND event_id < 1400")
+def slice_of_chunk(spark, sf_dir):
+    s = G.offsets_to_slices({"event_id": 700}, {"event_id": 700})["event_id"]
+    e = events(spark, sf_dir).df.where(G.in_slice(F.col("event_id"), s))
+    return e.select(G.offset_of(F.col("event_id"), 700).alias("o"), (F.col("event_id") - s.start).alias("within"), "value")
+
+
+@query(f"WITH {EMB} SELECT DISTINCT vec_id - vec_id % 50 AS vec_id, k - k % 16 AS k FROM e")
+def key_structs(spark, sf_dir):
+    c = vectors(spark, sf_dir, {"vec_id": 50, "k": 16}).with_offsets()
+    key = key_column(["vec_id", "k"])
+    keys = c.select(F.col("vec_id_offset").alias("vec_id"), F.col("k_offset").alias("k")).select(key.alias("key"))
+    return keys.groupBy(canonical(F.col("key")).alias("c")).agg(F.first("key").alias("key")).select(F.col("key.offsets")["vec_id"].alias("vec_id"), F.col("key.offsets")["k"].alias("k"))
+
+
+@query("SELECT greatest(event_id - event_id % 1000, event_id - event_id % 300) AS at, count(*) AS cells FROM events GROUP BY 1")
+def split_bounds(spark, sf_dir):
+    return events(spark, sf_dir).df.groupBy(G.split_offset_of(F.col("event_id"), 1000, 300).alias("at")).agg(F.count("*").alias("cells"))
+
+
+@query("SELECT CAST(count(DISTINCT (event_id // 5) * 100000000 + event_id // 7) AS BIGINT) AS pieces FROM events")
+def stage_io_count(spark, sf_dir):
+    from .rechunking import count_pieces
+
+    n = events(spark, sf_dir).sizes["event_id"]
+    return spark.range(1).select(F.lit(count_pieces(n, 5, 7)).cast("long").alias("pieces"))
+
+
+# ---- rechunking, variables ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id - event_id % 1000 AS event_id_offset, count(*) AS cells, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def consolidate_floor(spark, sf_dir):
+    c = events(spark, sf_dir, 250).rechunk(1000)
+    return c.with_offsets().groupBy("event_id_offset").agg(F.count("*").alias("cells"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(f"WITH {EMB} SELECT vec_id - vec_id % 500 AS vec_id_offset, k - k % 8 AS k_offset, count(*) AS cells, round(sum(v), 6) AS total FROM e GROUP BY 1, 2")
+def rechunk_pencil(spark, sf_dir):
+    c = vectors(spark, sf_dir).rechunk({"vec_id": 500, "k": 8}, co_locate=True)
+    return c.with_offsets().groupBy("vec_id_offset", "k_offset").agg(F.count("*").alias("cells"), F.round(F.sum("v"), 6).alias("total"))
+
+
+@query("SELECT p_partkey, 'p_size' AS variable, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part")
+def split_vars(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumn("p_size", F.col("p_size").cast("double"))
+    return Cube.from_dataframe(p, ["p_partkey"], ["p_size", "p_retailprice"], chunks=100).split_variables().long()
+
+
+@query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part")
+def merge_vars(spark, sf_dir):
+    long = split_vars(spark, sf_dir)
+    return long.groupBy("p_partkey").pivot("variable", ["p_size", "p_retailprice"]).agg(F.first("value"))
+
+
+@query("SELECT c_custkey AS i, c_acctbal, s_acctbal FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")
+def multi_dataset_aligned(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), "c_acctbal")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), "s_acctbal")
+    a = Cube.from_dataframe(c, ["i"], chunks=100)
+    return Cube.aligned([a, Cube.from_dataframe(s, ["i"], sizes=a.sizes, chunks=100)]).df
+
+
+# ---- selection and mapping ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, value FROM events")
+def select_vars(spark, sf_dir):
+    return events(spark, sf_dir)["value"].df
+
+
+@query(f"WITH {EMB} SELECT k, vec_id, v FROM e")
+def transpose(spark, sf_dir):
+    return vectors(spark, sf_dir).transpose("k", "vec_id").df
+
+
+@query(f"WITH {EMB} SELECT vec_id, k, v FROM e WHERE vec_id < 7 AND k < 3")
+def head_nd(spark, sf_dir):
+    return vectors(spark, sf_dir).head(vec_id=7, k=3).df
+
+
+@query(f"WITH {EMB}, n AS (SELECT max(vec_id) - 4 AS a, max(k) - 2 AS b FROM e) SELECT vec_id - a AS vec_id, k - b AS k, v FROM e, n WHERE vec_id >= a AND k >= b")
+def tail_nd(spark, sf_dir):
+    return vectors(spark, sf_dir).tail(vec_id=5, k=3).df
+
+
+@query(f"WITH {EMB} SELECT vec_id, k, 2 * v AS v FROM e")
+def map_scale(spark, sf_dir):
+    return vectors(spark, sf_dir).map_cells(v=lambda v: 2 * v).df
+
+
+@query(f"WITH {EMB}, m AS (SELECT vec_id, avg(v) AS m FROM e GROUP BY 1) SELECT vec_id, k, round(v - m, 6) AS v FROM e JOIN m USING (vec_id)")
+def map_blocks_centre(spark, sf_dir):
+    def centre(b: Block) -> Block:
+        return b.map(lambda x: x - x.mean(axis=1, keepdims=True))
+
+    return vectors(spark, sf_dir, {"vec_id": 250, "k": -1}).map_blocks(centre).df.select("vec_id", "k", r6("v"))
+
+
+@query(f"WITH {EMB} SELECT vec_id, k // 2 AS k, round(avg(v), 6) AS v FROM e GROUP BY 1, 2")
+def coarsen_mean(spark, sf_dir):
+    return vectors(spark, sf_dir).coarsen(k=2).df.select("vec_id", "k", r6("v"))
+
+
+@query(f"WITH {EMB} SELECT vec_id, k // 2 AS k, round(avg(v), 6) AS v FROM e GROUP BY 1, 2")
+def regrid_blocks(spark, sf_dir):
+    return vectors(spark, sf_dir, {"vec_id": 250, "k": 16}).map_blocks(lambda b: b.coarsen(k=2)).df.select("vec_id", "k", r6("v"))
+
+
+@query(f"WITH {EMB} SELECT k, round(median(v), 6) AS v FROM e GROUP BY 1")
+def median_dim(spark, sf_dir):
+    return vectors(spark, sf_dir).reduce("median", "vec_id").df.select("k", r6("v"))
+
+
+@query(f"WITH {EMB} SELECT k, round(median(v), 6) AS v FROM e GROUP BY 1")
+def median_blocks(spark, sf_dir):
+    c = vectors(spark, sf_dir).rechunk({"vec_id": -1, "k": 4})
+    return c.map_blocks(lambda b: b.reduce(np.median, "vec_id")).df.select("k", r6("v"))
+
+
+# ---- means --------------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {EMB} SELECT k, round(avg(v), 6) AS v FROM e GROUP BY 1")
+def mean_one_dim(spark, sf_dir):
+    return vectors(spark, sf_dir).mean("vec_id").df.select("k", r6("v"))
+
+
+@query(f"WITH {EMB} SELECT round(avg(v), 6) AS v FROM e")
+def mean_all(spark, sf_dir):
+    return vectors(spark, sf_dir).mean().df.select(r6("v"))
+
+
+@query(f"WITH {EMB} SELECT vec_id, k, v FROM e")
+def mean_none(spark, sf_dir):
+    return vectors(spark, sf_dir).mean([]).df
+
+
+@query(f"WITH {DAYS} SELECT hour, kind, round(avg(total), 4) AS total, round(avg(n), 6) AS n FROM d GROUP BY 1, 2")
+def mean_skipna(spark, sf_dir):
+    c = Cube.from_dataframe(days(spark, sf_dir), ["day", "hour", "kind"], chunks={"day": 10})
+    return c.mean("day").df.select("hour", "kind", F.round("total", 4).alias("total"), r6("n"))
+
+
+@query(f"WITH {DAYS}, s AS (SELECT max(day) + 1 AS days FROM d) SELECT hour, kind, CASE WHEN count(*) = any_value(days) THEN round(avg(n), 6) END AS n FROM d, s GROUP BY 1, 2")
+def mean_no_skipna(spark, sf_dir):
+    c = Cube.from_dataframe(days(spark, sf_dir), ["day", "hour", "kind"], chunks={"day": 10})
+    return c["n"].mean("day", skipna=False).df.select("hour", "kind", r6("n"))
+
+
+@query("SELECT event_type, round(avg(CAST(CAST(value AS FLOAT) AS DOUBLE)), 4) AS value FROM events GROUP BY 1")
+def mean_dtype_float(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_type", "value")
+    return means.mean(e, ["event_type"], ["value"], dtype="float").select("event_type", F.round("value", 4).alias("value"))
+
+
+@query("SELECT event_type, round(avg(value), 6) AS value FROM events GROUP BY 1")
+def mean_two_stage(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", "value")
+    return means.mean_in_stages(e, ["event_type"], ["value"], G.index_of(F.col("event_id"), 100), (8, 4)).select("event_type", r6("value"))
+
+
+@query("SELECT event_id % 100 AS position, round(avg(value), 6) AS value FROM events GROUP BY 1")
+def mean_globally(spark, sf_dir):
+    bags = table(spark, sf_dir, "events").select((F.col("event_id") % 100).alias("position"), "value")
+    return means.mean(bags, ["position"], ["value"]).select("position", r6("value"))
+
+
+@query("SELECT event_type, event_id % 10 AS position, round(avg(value), 6) AS value FROM events GROUP BY 1, 2")
+def mean_per_key(spark, sf_dir):
+    bags = table(spark, sf_dir, "events").select("event_type", (F.col("event_id") % 10).alias("position"), "value")
+    return means.mean(bags, ["event_type", "position"], ["value"]).select("event_type", "position", r6("value"))
+
+
+@query("SELECT event_id - event_id % 1000 AS event_id_offset, round(sum(value), 4) AS value_sum, count(value) AS value_count FROM events GROUP BY 1")
+def sum_count_partial(spark, sf_dir):
+    e = events(spark, sf_dir).with_offsets()
+    return means.partial_means(e, ["event_id_offset"], ["value"]).withColumn("value_sum", F.round("value_sum", 4))
+
+
+@query("SELECT hour(ts) AS hour, event_type, round(avg(value), 6) AS value FROM events GROUP BY 1, 2")
+def climatology_hour(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("ts", "event_type", "value")
+    return means.mean_by_label(e, {"hour": F.hour("ts").cast("long")}, ["event_type"], ["value"]).select("hour", "event_type", r6("value"))
+
+
+@query("SELECT month(o_orderdate) AS month, o_orderpriority, round(avg(o_totalprice), 4) AS o_totalprice FROM orders GROUP BY 1, 2")
+def climatology_month(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderdate", "o_orderpriority", "o_totalprice")
+    return means.mean_by_label(o, {"month": F.month("o_orderdate").cast("long")}, ["o_orderpriority"], ["o_totalprice"]).select("month", "o_orderpriority", F.round("o_totalprice", 4).alias("o_totalprice"))
+
+
+@query("SELECT month(ts) AS month, hour(ts) AS hour, round(avg(value), 6) AS value FROM events GROUP BY 1, 2")
+def climatology_month_hour(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("ts", "value")
+    return means.mean_by_label(e, {"month": F.month("ts").cast("long"), "hour": F.hour("ts").cast("long")}, [], ["value"]).select("month", "hour", r6("value"))
+
+
+@query("SELECT CASE WHEN month(o_orderdate) IN (12, 1, 2) THEN 'DJF' WHEN month(o_orderdate) <= 5 THEN 'MAM' WHEN month(o_orderdate) <= 8 THEN 'JJA' ELSE 'SON' END AS season, round(avg(o_totalprice), 4) AS o_totalprice FROM orders GROUP BY 1")
+def season_mean(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderdate", "o_totalprice")
+    return means.mean_by_label(o, {"season": means.season(F.col("o_orderdate"))}, [], ["o_totalprice"]).select("season", F.round("o_totalprice", 4).alias("o_totalprice"))
+
+
+@query("SELECT CAST(date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) // 10 AS BIGINT) AS bucket, round(avg(value), 6) AS value FROM events GROUP BY 1")
+def resample_10d(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("ts", "value")
+    first = F.broadcast(e.agg(F.min("ts").alias("origin")))
+    placed = e.join(first, F.lit(True)).select(means.resample_index(F.col("ts"), 10, F.col("origin")).alias("bucket"), "value")
+    return means.mean(placed, ["bucket"], ["value"]).select("bucket", r6("value"))
+
+
+@query("SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_extendedprice), 4) AS l_extendedprice FROM lineitem GROUP BY 1, 2")
+def grouped_mean_lineitem(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice")
+    return means.mean(t, ["l_returnflag", "l_linestatus"], ["l_quantity", "l_extendedprice"]).select("l_returnflag", "l_linestatus", r6("l_quantity"), F.round("l_extendedprice", 4).alias("l_extendedprice"))
+
+
+@query("SELECT 'mean' AS output, round(avg(value), 6) AS value FROM events UNION ALL SELECT 'max', round(max(value), 6) FROM events")
+def fan_out(spark, sf_dir):
+    c = events(spark, sf_dir)["value"]
+    m, x = c.mean().df.select(F.lit("mean").alias("output"), r6("value")), c.reduce("max").df.select(F.lit("max").alias("output"), r6("value"))
+    return m.unionByName(x)
+
+
+# ---- validation, stores ---------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {DAYS}, s AS (SELECT max(day) + 1 AS days, max(hour) + 1 AS hours, max(kind) + 1 AS kinds FROM d), c AS (SELECT day - day % 10 AS day_offset, count(*) AS cells FROM d GROUP BY 1) SELECT day_offset, cells, least(10, days - day_offset) * hours * kinds AS expected FROM c, s WHERE cells != least(10, days - day_offset) * hours * kinds")
+def validate_complete(spark, sf_dir):
+    c = Cube.from_dataframe(days(spark, sf_dir), ["day", "hour", "kind"], chunks={"day": 10})
+    return c.validate().select("day_offset", "cells", "expected")
+
+
+@query(f"WITH {EMB} SELECT max(vec_id) + 1 AS vec_id, max(k) + 1 AS k FROM e")
+def discover_template(spark, sf_dir):
+    t = discover(vectors(spark, sf_dir).df, ["vec_id", "k"])
+    return spark.range(1).select(*[F.lit(n).cast("long").alias(d) for d, n in t.sizes.items()])
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer")
+def range_source(spark, sf_dir):
+    from ..sources.ranges import range_source as source
+
+    t = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return source(spark, t.count(), 16).join(t, F.col("index") == F.col("c_custkey")).select("c_custkey", "c_acctbal")
+
+
+def _store(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessel-")
+    return f"{base.removeprefix('file://').removeprefix('file:').rstrip('/')}/zarr-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {EMB} SELECT vec_id, k, v FROM e")
+def zarr_roundtrip(spark, sf_dir):
+    path = _store(spark)
+    vectors(spark, sf_dir, {"vec_id": 250, "k": 32}).to_zarr(path)
+    return Cube.from_zarr(spark, path).df
+
+
+@query(f"WITH {EMB} SELECT vec_id, k, v FROM e WHERE vec_id >= 260 AND k < 8")
+def zarr_shards_pruned(spark, sf_dir):
+    path = _store(spark)
+    vectors(spark, sf_dir, {"vec_id": 250, "k": 32}).to_zarr(path, zarr_chunks_per_shard={"k": 4})
+    return Cube.from_zarr(spark, path).df.where("vec_id >= 260 AND k < 8")
