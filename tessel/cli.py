@@ -80,7 +80,7 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("target")
     c.add_argument("--time", default="time")
     a = p.parse_args(argv)
-    spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").config("spark.sql.python.filterPushdown.enabled", "true").getOrCreate()
+    spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.program == "rechunk":
         rechunk(spark, a.source, a.target, a.chunks, a.shards, a.format)
     else:

@@ -65,13 +65,17 @@ def cells_of(block: Block, offsets: Mapping[str, int], dims: Dims, names: Sequen
 
 @dataclass(frozen=True)
 class Cube:
-    """tables: cells by dimension tuple; template; chunk size of each dimension; split_vars: a chunk holds one variable."""
+    """tables: cells by dimension tuple; template; chunk size of each dimension; split_vars: a chunk holds one variable.
+
+    untouched: nothing but selections was done to a source; load: reads the source again within bounds, without the chunks outside.
+    """
 
     tables: Mapping[Dims, DataFrame]
     template: Template
     chunks: Mapping[str, int]
     split_vars: bool = False
     untouched: bool = False
+    load: Callable[[Mapping[str, Sequence[int]]], Mapping[Dims, DataFrame]] | None = None
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "chunks", {d: min(self.chunks.get(d, n), n) for d, n in self.template.sizes.items()})
@@ -167,7 +171,7 @@ class Cube:
         return f(self, *args, **kwargs)
 
     def _with(self, tables: Mapping[Dims, DataFrame], template: Template, chunks: Mapping[str, int] | None = None, **other: Any) -> Cube:
-        return replace(self, tables=tables, template=template, chunks=self.chunks if chunks is None else chunks, untouched=False, **other)
+        return replace(self, tables=tables, template=template, chunks=self.chunks if chunks is None else chunks, untouched=False, load=None, **other)
 
     # ---- selection ----------------------------------------------------------------------------------------------------------------
 
@@ -176,7 +180,7 @@ class Cube:
         names = [names] if isinstance(names, str) else list(names)
         template = self.template.select(names)
         tables = {dims: t.select(*dims, *kept) for dims, t in self.tables.items() if (kept := [n for n in names if set(self.template.variables[n].dims) == set(dims)])}
-        return replace(self, tables=tables, template=template, chunks={d: self.chunks[d] for d in template.sizes})
+        return replace(self, tables=tables, template=template, chunks={d: self.chunks[d] for d in template.sizes}, load=None)
 
     def rename(self, names: Mapping[str, str]) -> Cube:
         """Variables under other names."""
@@ -191,22 +195,27 @@ class Cube:
         put = lambda ds: tuple(d for d in order if d in ds)
         template = replace(self.template, sizes={d: self.template.sizes[d] for d in order}, variables={n: replace(v, dims=put(v.dims)) for n, v in self.template.variables.items()})
         tables = {put(ds): t.select(*put(ds), *[c for c in t.columns if c not in ds]) for ds, t in self.tables.items()}
-        return replace(self, tables=tables, template=template)
+        return replace(self, tables=tables, template=template, load=None)
+
+    def isel(self, **ranges: slice) -> Cube:
+        """Positions start to stop of each given dimension, counted from 0 again; a store's chunks outside are not read."""
+        bounds = {d: r.indices(self.template.sizes[d])[:2] for d, r in ranges.items()}
+        bounds = {d: (a, max(a, b)) for d, (a, b) in bounds.items()}
+        tables = {}
+        for dims, t in (self.load(bounds) if self.load else self.tables).items():
+            for d in set(dims) & set(bounds):
+                a, b = bounds[d]
+                t = t.where((F.col(d) >= a) & (F.col(d) < b)).withColumn(d, F.col(d) - a)
+            tables[dims] = t
+        labels = {d: self.template.labels[d][a:b] for d, (a, b) in bounds.items() if d in self.template.labels}
+        template = self.template.replace_dims(**{**{d: b - a for d, (a, b) in bounds.items()}, **labels})
+        return replace(self, tables=tables, template=template, load=None)
 
     def _ends(self, last: bool, counts: Mapping[str, int]) -> Cube:
         if not self.untouched:
             raise ValueError("head and tail select from a source: call them before other operations")
-        sizes = {d: min(n, self.template.sizes[d]) for d, n in counts.items()}
-        base = {d: self.template.sizes[d] - n if last else 0 for d, n in sizes.items()}
-        tables = {}
-        for dims, t in self.tables.items():
-            for d in set(dims) & set(sizes):
-                t = t.where(F.col(d) >= base[d]) if last else t.where(F.col(d) < sizes[d])
-                t = t.withColumn(d, F.col(d) - base[d])
-            tables[dims] = t
-        labels = {d: self.template.labels[d][base[d] : base[d] + n] for d, n in sizes.items() if d in self.template.labels}
-        template = self.template.replace_dims(**{**sizes, **labels})
-        return replace(self, tables=tables, template=template)
+        sizes = {d: (min(n, self.template.sizes[d]), self.template.sizes[d]) for d, n in counts.items()}
+        return self.isel(**{d: slice(size - n, size) if last else slice(0, n) for d, (n, size) in sizes.items()})
 
     def head(self, **counts: int) -> Cube:
         """The first positions of each given dimension."""
@@ -241,7 +250,7 @@ class Cube:
         tables = dict(self.tables)
         if co_locate:
             tables = {dims: t.repartition(*[G.offset_of(F.col(d), grid[d]) for d in dims]) if dims else t for dims, t in tables.items()}
-        return replace(self, tables=tables, chunks=grid, split_vars=split, untouched=self.untouched and not co_locate)
+        return replace(self, tables=tables, chunks=grid, split_vars=split, untouched=self.untouched and not co_locate, load=None if co_locate else self.load)
 
     def split_variables(self) -> Cube:
         return self if self.split_vars else replace(self, split_vars=True)

@@ -1,7 +1,7 @@
 """Zarr stores, formats 2 and 3: metadata, codecs, a Spark data source that reads chunks and a writer of whole chunks or shards.
 
-Stores are reached through pyarrow.fs, so local paths and URIs that it knows work. Every array is read by chunk: filters on positions drop
-the partitions that hold no matching chunk before anything is read. A stored chunk (or shard) is written by one task.
+Stores are reached through pyarrow.fs, so local paths and URIs that it knows work. Every array is read by chunk: ranges of positions leave
+out the chunks that they don't meet before anything is read. A stored chunk (or shard) is written by one task.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import grid as G
 from ..functions.key import ChunkKey
@@ -331,7 +331,11 @@ class Unit(InputPartition):
 
 
 class ZarrSource(DataSource):
-    """format('tessel_zarr'): options path, and variables (comma separated) that share dimensions and stored units."""
+    """format('tessel_zarr'): options path, variables (comma separated) that share dimensions and stored units, and bounds.
+
+    bounds is JSON {dim: [from, to]}: only units that meet it are read, and only cells inside come out. It is an option and no pushed filter, as
+    Spark keeps a Python source's pushed filters for later plans of the same DataFrame, which then lack rows.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -355,30 +359,14 @@ class ZarrSource(DataSource):
         return ", ".join([*[f"{d} bigint" for d in metas[0].dims], *[f"{n} {spark_type(m.dtype)}" for n, m in zip(names, metas, strict=True)]])
 
     def reader(self, schema: Any) -> DataSourceReader:
-        return ZarrReader(self._metas(), self.options["variables"].split(","))
+        return ZarrReader(self._metas(), self.options["variables"].split(","), json.loads(self.options.get("bounds", "{}")))
 
 
 class ZarrReader(DataSourceReader):
-    def __init__(self, metas: list[ArrayMeta], names: list[str]):
+    def __init__(self, metas: list[ArrayMeta], names: list[str], bounds: Mapping[str, Sequence[int]]):
         self.metas, self.names = metas, names
-        self.low = dict.fromkeys(metas[0].dims, 0)
-        self.high = dict(zip(metas[0].dims, metas[0].shape, strict=True))
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Bounds on positions narrow the chunks to read; Spark still applies every filter to the cells."""
-        for f in filters:
-            d = ".".join(f.attribute) if hasattr(f, "attribute") else None
-            if d in self.low and isinstance(getattr(f, "value", None), int):
-                v = f.value
-                if isinstance(f, EqualTo | GreaterThanOrEqual):
-                    self.low[d] = max(self.low[d], v)
-                if isinstance(f, GreaterThan):
-                    self.low[d] = max(self.low[d], v + 1)
-                if isinstance(f, EqualTo | LessThanOrEqual):
-                    self.high[d] = min(self.high[d], v + 1)
-                if isinstance(f, LessThan):
-                    self.high[d] = min(self.high[d], v)
-            yield f
+        self.low = {d: max(0, bounds.get(d, (0, 0))[0]) for d in metas[0].dims}
+        self.high = {d: min(n, bounds.get(d, (0, n))[1]) for d, n in zip(metas[0].dims, metas[0].shape, strict=True)}
 
     def partitions(self) -> Sequence[Unit]:
         m = self.metas[0]
@@ -392,16 +380,16 @@ class ZarrReader(DataSourceReader):
         unit = m.unit()
         begin = [i * u for i, u in zip(partition.at, unit, strict=True)]
         shape = tuple(min(u, n - b) for u, n, b in zip(unit, m.shape, begin, strict=True))
-        inner = tuple(slice(0, s) for s in shape)
-        index = np.indices(shape).reshape(len(shape), -1) if shape else np.zeros((0, 1), np.int64)
-        cols = [pa.array(index[k] + begin[k], pa.int64()) for k in range(len(shape))]
+        inner = tuple(slice(max(0, self.low[d] - b), min(s, self.high[d] - b)) for d, b, s in zip(m.dims, begin, shape, strict=True))
+        size = [s.stop - s.start for s in inner]
+        index = np.indices(size).reshape(len(size), -1) if size else np.zeros((0, 1), np.int64)
+        cols = [pa.array(index[k] + begin[k] + inner[k].start, pa.int64()) for k in range(len(size))]
         cols += [pa.array(np.ascontiguousarray(x.read(partition.at)[inner]).reshape(-1)) for x in self.metas]
         table = pa.table(cols, names=[*m.dims, *self.names])
         yield from table.to_batches(max_chunksize=1 << 16)
 
 
 def _register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ZarrSource)
 
 
@@ -432,12 +420,17 @@ def read_cube(spark: SparkSession, path: str, chunks: Any = None, split_vars: bo
 
     _register(spark)
     template, stored = open_template(path)
-    tables = {}
-    for dims in dict.fromkeys(v.dims for v in template.variables.values()):
-        names = [n for n, v in template.variables.items() if v.dims == dims]
-        tables[dims] = spark.read.format("tessel_zarr").option("variables", ",".join(names)).load(path)
+
+    def load(bounds: Mapping[str, Sequence[int]]) -> dict[tuple[str, ...], DataFrame]:
+        tables = {}
+        for dims in dict.fromkeys(v.dims for v in template.variables.values()):
+            names = [n for n, v in template.variables.items() if v.dims == dims]
+            own = json.dumps({d: list(b) for d, b in bounds.items() if d in dims})
+            tables[dims] = spark.read.format("tessel_zarr").option("variables", ",".join(names)).option("bounds", own).load(path)
+        return tables
+
     grid = stored if chunks is None else G.normalize_chunks(chunks, template.sizes, template.itemsizes(), split_vars, stored)
-    return Cube(tables, template, grid, split_vars, True)
+    return Cube(load({}), template, grid, split_vars, True, load)
 
 
 # ---- writing ------------------------------------------------------------------------------------------------------------------------
