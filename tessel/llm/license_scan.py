@@ -18,7 +18,7 @@ from .common import BROADCAST_ROWS, bounded_batches, named
 
 # fixed values: spellings that licence matching guidelines treat as the same word
 SPELLINGS = {
-    "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "sub license": "sublicense", "analogue": "analog", "authorisation": "authorization",
+    "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "sub license": "sublicense", "sub licence": "sublicense", "analogue": "analog", "authorisation": "authorization",
     "authorised": "authorized", "behaviour": "behavior", "cancelled": "canceled", "catalogue": "catalog", "centre": "center", "favour": "favor", "favourable": "favorable",
     "fulfilment": "fulfillment", "initialise": "initialize", "judgement": "judgment", "labelling": "labeling", "merchantability": "merchantability", "modelling": "modeling",
     "noncommercial": "non commercial", "organisation": "organization", "organise": "organize", "practise": "practice", "programme": "program", "realise": "realize", "recognise": "recognize",

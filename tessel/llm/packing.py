@@ -4,9 +4,9 @@ Documents are tokenised once and dealt to groups of a bounded number of document
 are sequences of their own; what is left of it is cut into pieces of at most PIECE ids. In each group the pieces of T ids go to
 n = ceil(T / 4096) windows: every piece starts as a partition of n sums (one piece, else empty), and the two partitions with the
 largest spread are merged again and again, the largest sums of one meeting the smallest of the other. If a window comes out over
-capacity, n rises by one and the differencing is done again. Neighbouring pieces of a document that meet in one window are
-joined again. What a group has beyond whole windows, when it is too small to fill one, goes to sequences whose lengths are
-powers of two, which take no padding.
+capacity, n rises by one and the differencing is done again; where n has risen by a 64th, pieces are halved first. Neighbouring pieces of a
+document that meet in one window are joined again. In a group of FEW windows one more would pad a lot: there the ids beyond whole windows go to
+sequences whose lengths are powers of two, which take no padding, and what differencing leaves over capacity is moved to windows with room.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from .common import bounded_batches, named, slices, utf8
 CAPACITY = 4096
 PIECE = 1024
 GROUP_DOCS = 256
+#: Groups of at most so many windows are levelled instead of getting one more window.
+FEW = 8
 
 
 def differencing(sizes: list[int], windows: int) -> np.ndarray:
@@ -84,9 +86,9 @@ def pack_group(lengths: list[int], capacity: int = CAPACITY, piece: int = PIECE)
         if n > whole:
             rest.append((d, whole, n - whole))
     total = sum(n for _, _, n in rest)
-    cut: list[tuple[int, int, int]] = []
     windows = -(-total // capacity)
-    if windows <= 8 and total % capacity and total:
+    few = windows <= FEW
+    if few and total % capacity:
         # few windows: raising their count would pad a lot, so the ids beyond whole windows fill powers of two
         spare = total % capacity
         parts = [1 << b for b in range(spare.bit_length() - 1, -1, -1) if spare >> b & 1]
@@ -107,29 +109,25 @@ def pack_group(lengths: list[int], capacity: int = CAPACITY, piece: int = PIECE)
             seq += 1
             if n:
                 rest.append((d, at, n))
-        total -= spare
-        # and what is left fills its windows one after the other
-        offset = 0
-        for d, at, n in rest:
-            while n:
-                take = min(n, capacity - offset)
-                cut.append((d, at, take))
-                out.append((d, at, take, seq, offset))
-                at, n, offset = at + take, n - take, (offset + take) % capacity
-                seq += not offset
+        windows -= 1
+    least = windows
+    if not rest:
         return out
-    for d, at, n in rest:
-        parts = -(-n // piece)
-        edges = [at + n * k // parts for k in range(parts + 1)]
-        cut += [(d, a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-    while cut:
+    while True:
+        cut = []
+        for d, at, n in rest:
+            parts = -(-n // piece)
+            edges = [at + n * k // parts for k in range(parts + 1)]
+            cut += [(d, a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
         window = differencing([n for _, _, n in cut], windows)
-        sums = np.bincount(window, [n for _, _, n in cut], windows)
-        if sums.max() <= capacity:
+        if few:
+            cut, window = levelled(cut, window, windows, capacity)
+            break
+        if np.bincount(window, [n for _, _, n in cut], windows).max() <= capacity:
             break
         windows += 1
-    else:
-        return out
+        if windows > least + least // 64 and piece > 64:  # pieces too coarse to be balanced: cut finer and start again
+            windows, piece = least, piece // 2
     filled: dict[int, int] = {}
     last: dict[int, tuple[int, int, int, int, int]] = {}
     for (d, at, n), w in zip(cut, window.tolist(), strict=True):
@@ -145,6 +143,31 @@ def pack_group(lengths: list[int], capacity: int = CAPACITY, piece: int = PIECE)
     return out + list(last.values())
 
 
+def levelled(cut: list[tuple[int, int, int]], window: np.ndarray, windows: int, capacity: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """What windows have over capacity cut off and put into those with room."""
+    room = (capacity - np.bincount(window, [n for _, _, n in cut], windows)).astype(int).tolist()
+    kept, spare = [], []
+    for (d, at, n), w in zip(cut, window.tolist(), strict=True):
+        take = min(n, max(0, -room[w]))
+        room[w] += take
+        if take < n:
+            kept.append(((d, at, n - take), w))
+        if take:
+            spare.append((d, at + n - take, take))
+    w = 0
+    while spare:
+        d, at, n = spare.pop()
+        while room[w] <= 0:
+            w += 1
+        take = min(n, room[w])
+        room[w] -= take
+        kept.append(((d, at, take), w))
+        if take < n:
+            spare.append((d, at + take, n - take))
+    kept.sort(key=lambda x: x[0][:2])
+    return [p for p, _ in kept], np.array([w for _, w in kept], np.int64)
+
+
 PIECES = "length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 

@@ -1,0 +1,50 @@
+import random
+
+import pytest
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega café naïve 東京".split()
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + (str(rng.randrange(99)) if rng.random() < 0.5 else "") for _ in range(n))
+
+
+@pytest.fixture(scope="session")
+def corpus():
+    """(doc_id, text, source) with nulls, empty and blank texts, short and long ones, exact and near copies, repeated passages and runs."""
+    rng = random.Random(5)
+    out = [(0, None, "a"), (1, "", None), (2, " \t\n", "b"), (3, "one", "a"), (4, "One", "b"), (5, "two words", None), (6, "x" * 5000, "a"), (7, "ab" * 300, "c"), (8, "x" * 1000, "c")]
+    texts = [prose(rng, rng.randrange(5, 120)) for _ in range(40)]
+    passage = prose(rng, 60)
+    for k in range(130):
+        t = rng.choice(texts)
+        kind = rng.randrange(6)
+        if kind == 1:
+            t = t.upper() if rng.random() < 0.3 else t
+        if kind == 2:
+            w = t.split()
+            for _ in range(1 + len(w) // 30):
+                w[rng.randrange(len(w))] = prose(rng, 1)
+            t = " ".join(w)
+        if kind == 3:
+            t = prose(rng, 30) + " " + passage + "\n" + prose(rng, 20)
+        if kind == 4:
+            t = prose(rng, rng.randrange(1, 300))
+        if kind == 5:
+            t = t + " " + t
+        out.append((9 + k, t, rng.choice(["a", "a", "a", "b", "c", "é", None])))
+    out.append((500, prose(rng, 20_000), "a"))
+    return out
+
+
+@pytest.fixture(scope="session")
+def docs(spark, corpus):
+    """The corpus with further columns whose names clash with those that operators use."""
+    rows = [(i, t, s, 1, "z", 0.5, b"b", 3) for i, t, s in corpus]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row_id int, n string, score double, spans binary, shingle int")
+    return df.repartition(5).cache()
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return spark.createDataFrame([], "doc_id long, text string, source string")
