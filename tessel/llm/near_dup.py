@@ -4,9 +4,9 @@ Each text's shingle set gives 128 MinHash samples. Bands of 4 samples put likely
 32 bands with a chance of 5e-8). The samples are also folded into a parity bitmap of 512 bits, the odd sketch; the XOR population count of
 two sketches estimates how many samples differ, precisely for similar sets, and rules candidates out. What is left is confirmed on full shingle sets.
 
-No bucket is expanded into all its pairs. Texts with equal sets are one node. First each bucket links its members to its smallest one. Members
-of a bucket that these links leave in different components are then compared across components, in the sketch-gated join. So a group of
-copies costs a link for each copy, and only pairs that could join two components cost more.
+No bucket is expanded into all its pairs. Texts with equal sets are one node. First each bucket links its members to its smallest one, its centre. Members
+of a centre that these links leave in different components are then compared across components, those outside the largest component with all: the join
+tests the sketches and then the exact difference, and only links come out of it. So a group of copies costs a link for each copy.
 """
 
 from __future__ import annotations
@@ -170,30 +170,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = some.groupBy("n", "hi", "lo").agg(F.min("row_id").alias("rep"))
     reps = some.join(classes.select(F.col("rep").alias("row_id")).distinct(), "row_id", "left_semi").select("row_id", "n", "bands", "sketch")
     banded = reps.select("row_id", F.explode("bands").alias("band"))
-    stars = banded.groupBy("band").agg(F.min("row_id").alias("centre"), F.count("*").alias("k")).where("k > 1").drop("k")
-    shared = materialize(banded.join(stars, "band"), "near-buckets")
+    centres = banded.groupBy("band").agg(F.min("row_id").alias("centre"), F.count("*").alias("k")).where("k > 1").drop("k")
+    shared = materialize(banded.join(centres, "band"), "near-buckets")
     sketch = materialize(reps.join(shared.select("row_id").distinct(), "row_id", "left_semi").select("row_id", "n", "sketch").dropDuplicates(["row_id"]), "near-members")
     sets = materialize(small_join(text.where("row_id IS NOT NULL"), shared.select("row_id").distinct(), "row_id", "left_semi").transform(lambda d: full_sets(d, width)).dropDuplicates(["row_id"]), "near-sets")
 
     side = lambda k: sketch.select(F.col("row_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that full sets confirm."""
-        with_sets = pairs.join(sets.select(F.col("row_id").alias("a"), F.col("shingle").alias("x")), "a").join(sets.select(F.col("row_id").alias("b"), F.col("shingle").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y")).cast("long")
-        return with_sets.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-    stars = shared.where("row_id != centre").select(F.col("row_id").alias("a"), F.col("centre").alias("b")).distinct()
+    set_of = lambda k, x: sets.select(F.col("row_id").alias(k), F.col("shingle").alias(x))
     gate = similar_sketch(F.col("s_a"), F.col("s_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    links = materialize(confirmed(stars.join(side("a"), "a").join(side("b"), "b").where(gate).select("a", "b")), "near-links")
-    first = components(links, "near-components")
-    label = shared.select("row_id", "band").join(first.withColumnRenamed("id", "row_id"), "row_id", "left").withColumn("component", F.coalesce("component", "row_id"))
-    open_ = label.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band")
-    left = materialize(label.join(open_, "band", "left_semi"), "near-open")
-    one = lambda k: left.select("band", F.col("row_id").alias(k), F.col("component").alias(f"c_{k}")).join(side(k), k)
-    across = one("a").join(one("b"), "band").where((F.col("c_a") < F.col("c_b")) & gate).select("a", "b").distinct()
-    more = materialize(confirmed(across), "near-links")
-    links = links.union(more).union(classes_links(some, classes))
+
+    # each bucket's members and its smallest one
+    stars = materialize(shared.where("row_id != centre").select(F.col("row_id").alias("a"), F.col("centre").alias("b")).distinct(), "near-stars")
+    likely = stars.join(side("a"), "a").join(side("b"), "b").where(gate).select("a", "b")
+    common = F.size(F.array_intersect("x", "y")).cast("long")
+    linked = 100 * common >= percent * (F.size("x") + F.size("y") - common)
+    links = materialize(likely.join(set_of("a", "x"), "a").join(set_of("b", "y"), "b").where(linked).select("a", "b"), "near-links")
+
+    # members of one centre that are in different components: two texts of one bucket have its centre in common. With D(a) = A xor centre,
+    # |A xor B| = |D(a)| + |D(b)| - 2 |D(a) and D(b)| is exact, and D is short for similar texts, so the join itself confirms the links
+    first = components(links, "near-components").withColumnRenamed("id", "a")
+    labelled = stars.join(first, "a", "left").withColumn("c", F.coalesce("component", "a")).select("a", "b", "c")
+    of_centre = labelled.select("b", "c").union(stars.select("b").distinct().join(first.select(F.col("a").alias("b"), "component"), "b", "left").select("b", F.coalesce("component", "b").alias("c")))
+    sizes = of_centre.groupBy("b", "c").agg(F.count("*").alias("k"))
+    open_ = sizes.groupBy("b").agg(F.max(F.struct("k", (-F.col("c")).alias("c"))).alias("most"), F.count("*").alias("several")).where("several > 1").select("b", (-F.col("most.c")).alias("main"))
+    spread = labelled.join(open_, "b").join(set_of("a", "x"), "a").join(set_of("b", "y"), "b")
+    difference = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    left = materialize(spread.select("b", "a", "c", "main", difference.alias("d")).join(sketch.select(F.col("row_id").alias("a"), "n", "sketch"), "a"), "near-open")
+    one = lambda k: left.select(F.col("b").alias("centre"), "main", F.col("a").alias(k), F.col("c").alias(f"c_{k}"), F.col("d").alias(f"d_{k}"), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
+    far = lambda both: 100 * (F.col("n_a") + F.col("n_b") - both) >= percent * (F.col("n_a") + F.col("n_b") + both)
+    apart = (F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))).cast("long")
+    once = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b")))
+    across = one("a").where("c_a != main").join(one("b").drop("main"), "centre").where(once & far(F.abs(F.size("d_a") - F.size("d_b"))) & gate & far(apart))
+    more = materialize(across.select("a", "b").distinct(), "near-links")
+    links = links.union(more).union(classes_links(some))
     final = components(links, "near-components")
     return (
         sig.select("row_id", "n").join(final.withColumnRenamed("id", "row_id"), "row_id", "left")
@@ -202,7 +211,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def classes_links(some: DataFrame, classes: DataFrame) -> DataFrame:
+def classes_links(some: DataFrame) -> DataFrame:
     """A link from each member of a class of equal sets to its representative; classes of one are left out first."""
     many = some.groupBy("n", "hi", "lo").agg(F.min("row_id").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k")
-    return some.select("row_id", "n", "hi", "lo").join(many, ["n", "hi", "lo"]).where("row_id != rep").select(F.col("row_id").alias("a"), F.col("rep").alias("b"))
+    of_class = small_join(some.select("row_id", "n", "hi", "lo"), many, ["n", "hi", "lo"], "inner")
+    return of_class.where("row_id != rep").select(F.col("row_id").alias("a"), F.col("rep").alias("b"))

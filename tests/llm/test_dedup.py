@@ -143,7 +143,7 @@ def test_suffix_dedup_odd_tables(spark, no_docs):
 
 def test_run_length_index_samples():
     rng = np.random.default_rng(2)
-    texts = [bytes(rng.integers(97, 100, n)) for n in (40, 60, 35)]
+    texts = [rng.integers(97, 100, n).astype(np.uint8).tobytes() for n in (40, 60, 35)]
     texts += [texts[0], texts[1][:30] + texts[0][5:25], texts[1]]
     symbols = np.concatenate([np.concatenate([np.frombuffer(t, np.uint8).astype(np.int16) + 1, [0]]) for t in texts]).astype(np.int16)
     index = suffix_dedup.RunLengthIndex(symbols, 61)
