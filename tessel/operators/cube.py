@@ -15,7 +15,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grid as G
@@ -483,6 +483,15 @@ class Cube:
         report = grid.join(found, keys, "full").fillna(0, ["cells", "positions", "outside"]).withColumn("expected", size)
         return report.where("cells != expected OR positions != expected OR outside > 0")
 
+    def observed(self, name: str) -> tuple[Cube, dict[Dims, Observation]]:
+        """The same cube, and for each table an Observation of cells and present values, filled when an action runs."""
+        seen, tables = {}, {}
+        for dims, t in self.tables.items():
+            o = Observation(f"{name}:{','.join(dims)}")
+            tables[dims] = t.observe(o, F.count(F.lit(1)).alias("cells"), *[F.count(means.present(t, v)).alias(f"{v}_present") for v in self.names_over(dims)])
+            seen[dims] = o
+        return replace(self, tables=tables), seen
+
     # ---- sinks ---------------------------------------------------------------------------------------------------------------------
 
     def to_zarr(self, path: str, **options: Any) -> None:
@@ -496,6 +505,23 @@ class Cube:
 
         return read_cube(spark, path, chunks, split_vars)
 
+    def foreach_block(self, func: Callable[[ChunkKey, Block], None]) -> int:
+        """Call func on every chunk, for sinks of one's own; returns the number of chunks. A retried task calls it again."""
+        done = 0
+        for dims, t in self.tables.items():
+            names, template, old = self.names_over(dims), self.template, dict(self.chunks)
+
+            def run(key: tuple, cells: pa.Table, dims: Dims, names: list[str]) -> pa.Table:
+                offsets = {d: k.as_py() for d, k in zip(dims, key, strict=False)}
+                sizes = {d: min(old[d], template.sizes[d] - o) for d, o in offsets.items()}
+                func(ChunkKey(offsets), block_of(cells, template, names, dims, offsets, sizes))
+                return pa.table({"done": pa.array([1], pa.int64())})
+
+            placed = t.withColumns({f"{d}_offset": G.offset_of(F.col(d), old[d]) for d in dims})
+            two = lambda key, cells: run(key, cells, dims, names)  # noqa: E731, B023
+            done += placed.groupBy(*([f"{d}_offset" for d in dims] or [F.lit(0)])).applyInArrow(two, "done bigint").count()
+        return done
+
     def to_parquet(self, path: str, dims: Dims | None = None) -> None:
         """One cell table as Parquet, partitioned by the chunk offsets of its first dimension."""
         dims = dims or next(iter(self.tables))

@@ -612,3 +612,20 @@ def write_cube(cube, path: str, zarr_chunks: Mapping[str, int] | int | str | Non
                 write_cells(df, t.variables[n].dims, {n: own[n]})
         else:
             write_cells(df, order, own)
+
+
+def write_dataframe(df: DataFrame, dims: Sequence[str], path: str, template: Template | None = None, chunks: Any = -1, **options: Any) -> None:
+    """Write a cell table. Without a template its sizes are found in the data, which takes a pass over it and is better avoided."""
+    from ..operators.cube import Cube
+
+    if template is None:
+        if not options.get("needs_setup", True):
+            raise ValueError("needs_setup=False needs a template")
+        warnings.warn("no template was given: the sizes are found in the data. Pass template=", FutureWarning, stacklevel=2)
+        cube = Cube.from_dataframe(df, dims, chunks=chunks)
+    elif not isinstance(template, Template):
+        raise TypeError(f"template must be a Template, not {type(template).__name__}")
+    else:
+        grid = G.normalize_chunks(chunks, template.sizes, template.itemsizes(), False, template.sizes)
+        cube = Cube({tuple(dims): df.select(*dims, *template.variables)}, template, grid)
+    write_cube(cube, path, **options)

@@ -1,0 +1,48 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from tessel.plans import catalogue
+
+DATA = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the benchmark tables are not here")
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+def test_query_agrees_with_sql(spark, duck, name):
+    got, want = catalogue.QUERIES[name](spark, DATA).toPandas(), duck.sql(catalogue.ORACLE_SQL[name]).df()
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    got, want = (x[columns].sort_values(columns).reset_index(drop=True) for x in (got, want))
+    assert len(got) == len(want)
+    for c in columns:
+        assert ((got[c] == want[c]) | (got[c].isna() & want[c].isna())).all(), c
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the benchmark tables are not here")
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
+
+
+def test_library_does_not_need_the_corpus_operators():
+    """Nothing outside the subpackage imports it, and the entry module works without it."""
+    root = Path(__file__).parents[1]
+    for p in (root / "tessel").rglob("*.py"):
+        if p.parent.name != "llm":
+            assert ".llm" not in p.read_text() and "import llm" not in p.read_text(), p
+    code = "import sys; sys.modules['tessel.llm'] = None; import __spark_entry__ as e; assert not any(n.startswith('op') for n in e.queries()) and 'pipeline' not in e.queries(); e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)

@@ -146,3 +146,25 @@ def test_stream_extension(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["v"] for r in spark.sql("SELECT v FROM w").collect()) == [29.5, 89.5]
+
+
+def test_write_dataframe_and_custom_sinks(spark, tmp_path):
+    df = spark.range(10).selectExpr("id AS x", "double(id) AS v")
+    with pytest.warns(FutureWarning):
+        zarr.write_dataframe(df, ["x"], str(tmp_path / "a"), chunks=4)
+    c = Cube.from_zarr(spark, str(tmp_path / "a"))
+    zarr.write_dataframe(df, ["x"], str(tmp_path / "b"), c.template, chunks=5)
+    assert Cube.from_zarr(spark, str(tmp_path / "b")).collect().equals(c.collect())
+    with pytest.raises(TypeError):
+        zarr.write_dataframe(df, ["x"], str(tmp_path / "c"), {"x": 10})
+    with pytest.raises(ValueError):
+        zarr.write_dataframe(df, ["x"], str(tmp_path / "c"), needs_setup=False)
+    out = str(tmp_path)
+
+    def save(key, block):
+        np.save(f"{out}/{key.offsets['x']}.npy", block["v"])
+
+    assert c.foreach_block(save) == 3 and np.load(f"{out}/8.npy").tolist() == [8, 9]
+    seen, counts = c.observed("copy")
+    seen.df.count()
+    assert counts[("x",)].get == {"cells": 10, "v_present": 10}
