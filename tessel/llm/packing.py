@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, named, slices, utf8
+from .common import LOWER, bounded_batches, named, slices, utf8
 
 CAPACITY = 4096
 PIECE = 1024
@@ -188,7 +188,7 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[pa.Array], tuple[np.nd
         for batch in batches:
             text = batch.column(1)
             _, offs = utf8(text)
-            for i, j in slices(offs):
+            for i, j in slices(offs, 1 << 20):
                 ids, first = encode(text.slice(i, j - i))
                 data = np.ascontiguousarray(ids, np.uint32)
                 blob = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((first * 4).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
@@ -217,60 +217,86 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[pa.Array], tuple[np.nd
     return coded.groupBy("grp").applyInArrow(packed, f"row_id {kind}, start long, {PIECES}").withColumnRenamed("row_id", id_col)
 
 
+_GAP, _LETTER, _DIGIT, _SIGN, _WIDE, _QUOTE = range(6)
+_KIND = np.full(256, _SIGN, np.uint8)
+_KIND[[32, 9, 10]] = _GAP
+_KIND[97:123] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[128:] = _WIDE
+_KIND[39] = _QUOTE
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizers file, with a last id after each, reusing the ids of words met before.
+    """Ids of texts by a tokenizers file, with a last id after each, reusing the ids of pieces met before.
 
-    Texts are split at blanks, tabs and line feeds, which the tokenizer drops and which no token crosses; only new words go to the
-    tokenizer. That holds for tokenizers whose pre-tokenizer drops white space, such as word_bpe_49k.json.
+    For tokenizers that lower-case, drop white space and split at changes between letters, single digits and other signs, such as
+    word_bpe_49k.json. Texts are cut where no token can cross: at blanks, tabs and line feeds, and inside ASCII between letters, digits and signs,
+    but not at an apostrophe or a wide character, nor in a word with the beginning of a special token. Only new pieces go to the tokenizer, many joined
+    by a sign that none of them has. Pieces are kept in two generations: what the last KEEP new pieces' time did not use is forgotten.
     """
 
-    KEEP = 400_000
+    KEEP = 150_000
 
     def __init__(self, path: str, last: int | None = 2):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.last = last
-        self.place: dict[bytes, int] = {}
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.first = np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def _learn(self, words: list[bytes]) -> None:
-        for enc in (self.tokenizer.encode_batch([w.decode() for w in words[k : k + 20000]], add_special_tokens=False) for k in range(0, len(words), 20000)):
-            flat = [e.ids for e in enc]
-            base = len(self.place)
-            n = sum(map(len, flat))
-            while self.used + n > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            while base + len(flat) + 1 > len(self.first):
-                self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-            self.ids[self.used : self.used + n] = np.fromiter((i for f in flat for i in f), np.uint32, n)
-            self.first[base + 1 : base + len(flat) + 1] = self.used + np.cumsum([len(f) for f in flat])
-            self.used += n
-            for w in words[base - self._base : base - self._base + len(flat)]:
-                self.place[w] = len(self.place)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.joint = self.tokenizer.encode("\x01", add_special_tokens=False).ids
+
+    def _encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids (uint32) of each piece as bytes."""
+        for _ in range(len(self.joint) == 1):
+            text = b" \x01 ".join(pieces)
+            if text.count(b"\x01") != len(pieces) - 1:
+                break
+            ids = np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.joint[0])
+            if len(cuts) != len(pieces) - 1:
+                break
+            raw = ids.tobytes()
+            begin, end = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]
+            return [raw[a:b] for a, b in zip(begin, end, strict=True)]
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        young, old = self.young, self.old
+        out = [young.get(p) for p in pieces]
+        missing = [k for k, v in enumerate(out) if v is None]
+        new = []
+        for k in missing:
+            if (v := old.get(pieces[k])) is None:
+                new.append(k)
+            else:
+                out[k] = young[pieces[k]] = v
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            for k, v in zip(part, self._encode([pieces[k] for k in part]), strict=True):
+                out[k] = young[pieces[k]] = v
+        if len(young) > self.KEEP:
+            self.young, self.old = {}, young
+        return out
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, each text's first position and the end)."""
         from .token_count import _words
 
         data, offs = utf8(text)
-        gap = np.isin(data, (32, 9, 10))
-        starts, stops, per_doc = _bounds(gap, offs)
-        if len(self.place) > self.KEEP:
-            self.place.clear()
-            self.used = 0
+        starts, stops, data, per_doc = _pieces(data, offs)
         if len(starts):
             words = _words(data, starts, stops).dictionary_encode()
-            distinct = words.dictionary.to_pylist()
-            self._base = len(self.place)
-            self._learn([w for w in distinct if w not in self.place])
-            at = np.array([self.place[w] for w in distinct], np.int64)[words.indices.to_numpy()]
+            ids = self._ids(words.dictionary.to_pylist())
+            flat = np.frombuffer(b"".join(ids), np.uint32)
+            size = np.array([len(v) for v in ids], np.int64) // 4
+            first = np.cumsum(size) - size
+            at = words.indices.to_numpy()
+            sizes = size[at]
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            flat = flat[np.arange(ends[-1]) + np.repeat(first[at] - ends[:-1], sizes)]
         else:
-            at = np.empty(0, np.int64)
-        sizes = self.first[at + 1] - self.first[at] if len(at) else np.empty(0, np.int64)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.ids[np.arange(ends[-1]) + np.repeat(self.first[at] - ends[:-1], sizes)] if len(at) else np.empty(0, np.uint32)
+            flat, ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
         first = ends[per_doc]
         if self.last is not None:
             flat = np.insert(flat, first[1:], np.uint32(self.last))
@@ -278,15 +304,28 @@ class WordEncoder:
         return flat, first
 
 
-def _bounds(gap: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs without a gap, within documents, and the number of them before each document."""
-    n = len(gap)
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop) of the pieces that no token crosses, the bytes with A-Z lower-cased, and the number of pieces before each text."""
+    n = len(data)
     if not n:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
-    before, after = np.empty(n, bool), np.empty(n, bool)
-    before[0], before[1:] = True, gap[:-1]
-    before[offsets[:-1][offsets[:-1] < n]] = True
-    after[-1], after[:-1] = True, gap[1:]
-    after[offsets[1:][offsets[1:] > 0] - 1] = True
-    starts = np.flatnonzero(~gap & before)
-    return starts, np.flatnonzero(~gap & after) + 1, np.searchsorted(starts, offsets)
+        return np.empty(0, np.int64), np.empty(0, np.int64), data, np.zeros(len(offsets), np.int64)
+    low = LOWER[data]
+    kind = _KIND[low]
+    special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # the beginning of a special token: its word stays as it is
+    if len(special):
+        gaps = np.flatnonzero(kind == _GAP)
+        left = np.concatenate([[0], gaps + 1])[np.searchsorted(gaps, special)]
+        right = np.concatenate([gaps, [n]])[np.searchsorted(gaps, special)]
+        for a, b in zip(left.tolist(), right.tolist(), strict=True):
+            low[a:b] = data[a:b]
+            kind[a:b] = _WIDE
+    cut = np.empty(n + 1, bool)
+    cut[0] = cut[n] = True
+    a, b = kind[:-1], kind[1:]
+    cut[1:n] = ((a != b) | (a == _DIGIT)) & (a < _WIDE) & (b < _WIDE) | (a == _GAP) | (b == _GAP)
+    cut[offsets] = True
+    edges = np.flatnonzero(cut)
+    starts, stops = edges[:-1], edges[1:]
+    real = kind[starts] != _GAP
+    starts, stops = starts[real], stops[real]
+    return starts, stops, low, np.searchsorted(starts, offsets)
