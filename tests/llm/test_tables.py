@@ -1,7 +1,9 @@
+import os
 import random
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -159,3 +161,16 @@ def test_tree_bounds_hold():
     assert sorted(order) == list(range(2000))
     for (a, b, left, _), c, r in zip(nodes, centres, radii, strict=True):
         assert np.sqrt(((x[order[a:b]] - c) ** 2).sum(1)).max() <= r + 1e-9 and (left >= 0 or b - a <= 64)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the benchmark tables are not here")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_agrees_with_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("pages", "embeddings"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), c.sql(queries.ORACLE_SQL[name]).df()
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns and list(map(str, got[columns].dtypes)) == list(map(str, want[columns].dtypes))
+    rows = lambda x: sorted(map(str, x[columns].astype(object).where(x[columns].notna(), None).values.tolist()))
+    assert rows(got) == rows(want)
