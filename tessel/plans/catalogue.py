@@ -41,6 +41,11 @@ def r6(name: str) -> F.Column:
     return F.round(F.col(name), 6).alias(name)
 
 
+def r4(name: str) -> F.Column:
+    """Four decimals of a mean of money; the shift keeps means that end in a 5 from being rounded by their last bit."""
+    return F.round(F.col(name) + 1e-7, 4).alias(name)
+
+
 EMB = "e AS (SELECT vec_id, CAST(k - 1 AS BIGINT) AS k, CAST(embedding[k] AS DOUBLE) AS v, label FROM (SELECT vec_id, embedding, label, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings))"
 
 
@@ -231,10 +236,10 @@ def mean_none(spark, sf_dir):
     return vectors(spark, sf_dir).mean([]).df
 
 
-@query(f"WITH {DAYS} SELECT hour, kind, round(avg(total), 4) AS total, round(avg(n), 6) AS n FROM d GROUP BY 1, 2")
+@query(f"WITH {DAYS} SELECT hour, kind, round(avg(total) + 1e-7, 4) AS total, round(avg(n), 6) AS n FROM d GROUP BY 1, 2")
 def mean_skipna(spark, sf_dir):
     c = Cube.from_dataframe(days(spark, sf_dir), ["day", "hour", "kind"], chunks={"day": 10})
-    return c.mean("day").df.select("hour", "kind", F.round("total", 4).alias("total"), r6("n"))
+    return c.mean("day").df.select("hour", "kind", r4("total"), r6("n"))
 
 
 @query(f"WITH {DAYS}, s AS (SELECT max(day) + 1 AS days FROM d) SELECT hour, kind, CASE WHEN count(*) = any_value(days) THEN round(avg(n), 6) END AS n FROM d, s GROUP BY 1, 2")
@@ -279,10 +284,10 @@ def climatology_hour(spark, sf_dir):
     return means.mean_by_label(e, {"hour": F.hour("ts").cast("long")}, ["event_type"], ["value"]).select("hour", "event_type", r6("value"))
 
 
-@query("SELECT month(o_orderdate) AS month, o_orderpriority, round(avg(o_totalprice), 4) AS o_totalprice FROM orders GROUP BY 1, 2")
+@query("SELECT month(o_orderdate) AS month, o_orderpriority, round(avg(o_totalprice) + 1e-7, 4) AS o_totalprice FROM orders GROUP BY 1, 2")
 def climatology_month(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderdate", "o_orderpriority", "o_totalprice")
-    return means.mean_by_label(o, {"month": F.month("o_orderdate").cast("long")}, ["o_orderpriority"], ["o_totalprice"]).select("month", "o_orderpriority", F.round("o_totalprice", 4).alias("o_totalprice"))
+    return means.mean_by_label(o, {"month": F.month("o_orderdate").cast("long")}, ["o_orderpriority"], ["o_totalprice"]).select("month", "o_orderpriority", r4("o_totalprice"))
 
 
 @query("SELECT month(ts) AS month, hour(ts) AS hour, round(avg(value), 6) AS value FROM events GROUP BY 1, 2")
@@ -291,10 +296,10 @@ def climatology_month_hour(spark, sf_dir):
     return means.mean_by_label(e, {"month": F.month("ts").cast("long"), "hour": F.hour("ts").cast("long")}, [], ["value"]).select("month", "hour", r6("value"))
 
 
-@query("SELECT CASE WHEN month(o_orderdate) IN (12, 1, 2) THEN 'DJF' WHEN month(o_orderdate) <= 5 THEN 'MAM' WHEN month(o_orderdate) <= 8 THEN 'JJA' ELSE 'SON' END AS season, round(avg(o_totalprice), 4) AS o_totalprice FROM orders GROUP BY 1")
+@query("SELECT CASE WHEN month(o_orderdate) IN (12, 1, 2) THEN 'DJF' WHEN month(o_orderdate) <= 5 THEN 'MAM' WHEN month(o_orderdate) <= 8 THEN 'JJA' ELSE 'SON' END AS season, round(avg(o_totalprice) + 1e-7, 4) AS o_totalprice FROM orders GROUP BY 1")
 def season_mean(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderdate", "o_totalprice")
-    return means.mean_by_label(o, {"season": means.season(F.col("o_orderdate"))}, [], ["o_totalprice"]).select("season", F.round("o_totalprice", 4).alias("o_totalprice"))
+    return means.mean_by_label(o, {"season": means.season(F.col("o_orderdate"))}, [], ["o_totalprice"]).select("season", r4("o_totalprice"))
 
 
 @query("SELECT CAST(date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) // 10 AS BIGINT) AS bucket, round(avg(value), 6) AS value FROM events GROUP BY 1")
@@ -305,10 +310,10 @@ def resample_10d(spark, sf_dir):
     return means.mean(placed, ["bucket"], ["value"]).select("bucket", r6("value"))
 
 
-@query("SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_extendedprice), 4) AS l_extendedprice FROM lineitem GROUP BY 1, 2")
+@query("SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_extendedprice) + 1e-7, 4) AS l_extendedprice FROM lineitem GROUP BY 1, 2")
 def grouped_mean_lineitem(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice")
-    return means.mean(t, ["l_returnflag", "l_linestatus"], ["l_quantity", "l_extendedprice"]).select("l_returnflag", "l_linestatus", r6("l_quantity"), F.round("l_extendedprice", 4).alias("l_extendedprice"))
+    return means.mean(t, ["l_returnflag", "l_linestatus"], ["l_quantity", "l_extendedprice"]).select("l_returnflag", "l_linestatus", r6("l_quantity"), r4("l_extendedprice"))
 
 
 @query("SELECT 'mean' AS output, round(avg(value), 6) AS value FROM events UNION ALL SELECT 'max', round(max(value), 6) FROM events")
