@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once inside a Python worker; a longer single text is still taken whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: A table of at most this many rows of one or two integers may be broadcast (about 16 MB).
 BROADCAST_ROWS = 1_000_000
 
