@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, U, bounded_batches, materialize, mix, named, slices, utf8
+from .common import RollingHash, U, bounded_batches, materialize, mix, named, slices, small_join, utf8
 
 WIDTH, GRAM = 100, 24
 #: Window bytes that one index holds; windows of one anchor stay together.
@@ -68,12 +68,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int
     return doc, at - offsets[doc], h[at], roll.of(left, right) ^ mix((at - left).astype(np.uint64) + U(1))
 
 
-def _first_of(e: np.ndarray) -> np.ndarray:
-    """Sort entries by anchor, window, document and position; True for the first of each window."""
-    e.sort(order=("anchor", "window", "doc", "at"))
+def _first_of(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entries by anchor, window, document and position, each once; True for the first of each window).
+
+    Rows with the same key and text have the same entries: an entry is covered by one of another place only, never by its own repeat.
+    """
+    e = np.sort(e, order=("anchor", "window", "doc", "at"))
     new = np.ones(len(e), bool)
     new[1:] = (e["anchor"][1:] != e["anchor"][:-1]) | (e["window"][1:] != e["window"][:-1])
-    return new
+    once = new.copy()
+    once[1:] |= (e["doc"][1:] != e["doc"][:-1]) | (e["at"][1:] != e["at"][:-1])
+    return e[once], new[once]
 
 
 class RunLengthIndex:
@@ -209,7 +214,10 @@ def repeated_starts(windows: list[bytes], firsts: np.ndarray, width: int = WIDTH
 
 
 def mark(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """docs (row_id long, text, and any rest column) with spans: sorted disjoint pairs of int64 as bytes, null if there are none."""
+    """docs (row_id long, text, and any rest column) with spans: sorted disjoint pairs of int64 as bytes, null if there are none.
+
+    Rows that repeat a row_id must have the same text.
+    """
     spark = docs.sparkSession
     bounded_batches(spark, 1000)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -218,9 +226,8 @@ def mark(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            e = np.concatenate(held)
+            e, new = _first_of(np.concatenate(held))
             held.clear()
-            new = _first_of(e)
             rows: list[tuple[int, bool, bytes]] = []
             for chunk, fresh in ((e[new], True), (e[~new], False)):
                 to = (chunk["anchor"] >> U(7)) % U(parts)
@@ -252,8 +259,7 @@ def mark(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
                 got[b][not fresh].append(np.frombuffer(blob.as_buffer(), ENTRY))
         while got:
             _, (fresh, old) = got.popitem()
-            e = np.concatenate(fresh) if fresh else np.empty(0, ENTRY)
-            new = _first_of(e)
+            e, new = _first_of(np.concatenate(fresh) if fresh else np.empty(0, ENTRY))
             kept = e[new]
             edge = np.ones(len(kept) + 1, bool)
             edge[1:-1] = kept["anchor"][1:] != kept["anchor"][:-1]
@@ -315,6 +321,9 @@ def mark(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
             stop = np.cumsum(head[:, 3])
             begin = stop - head[:, 3]
             order = np.lexsort((head[:, 2], head[:, 1], head[:, 0]))
+            once = np.ones(len(order), bool)  # rows with the same key and text send the same windows
+            once[1:] = (head[order[1:], :3] != head[order[:-1], :3]).any(axis=1)
+            order = order[once]
             anchor = head[order, 0]
             edges = np.concatenate([np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])), [len(order)]])
             weight = np.concatenate([[0], np.cumsum(head[order, 3])])
@@ -410,18 +419,30 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(*[back[c].alias(c) for c in docs.columns])
 
 
+def _with_keys(known: DataFrame) -> DataFrame:
+    """known with a row_id for each pair of id and text, in the order of ids and then of the texts' digests; the ids are in own_id."""
+    known = known.withColumnRenamed("row_id", "own_id").withColumn("sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    keys = known.select("own_id", "sha").distinct().orderBy("own_id", "sha").withColumn("row_id", F.monotonically_increasing_id())
+    return small_join(known, materialize(keys, "suffix-keys"), ["own_id", "sha"], "inner").drop("sha")
+
+
 def _with_null_ids(base: DataFrame, width: int) -> DataFrame:
     """mark() for the rows with an id; those without keep all."""
     gram = max(4, min(GRAM, width // 4))
-    marked = mark(base.where("row_id IS NOT NULL"), width, gram)
+    known = base.where("row_id IS NOT NULL")
+    if known.groupBy("row_id").count().where("count > 1").isEmpty():
+        marked = mark(known, width, gram)
+    else:
+        marked = mark(_with_keys(known), width, gram).drop("row_id").withColumnRenamed("own_id", "row_id").select("row_id", "text", "spans", *[c for c in base.columns if c not in ("row_id", "text")])
     return marked.unionByName(base.where("row_id IS NULL").withColumn("spans", F.lit(None).cast("binary")))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept_sha256.
 
-    Null texts count as empty; texts shorter than width lose nothing. Ids must be integers that are not null and not repeated: rows with a null id
-    are left out of matching and keep all bytes, and of rows that repeat an id each is treated as the same document (both keep and lose the same).
+    Null texts count as empty; texts shorter than width lose nothing. Ids must be integers: rows with a null id are left out of matching and keep all
+    bytes. Rows that repeat an id with the same text are the same document (all keep and lose the same); with different texts they are documents of
+    their own, in the order of the texts' SHA-256.
     """
     base = named(docs, row_id=id_col, text=text_col).select(F.col("row_id").cast("long").alias("row_id"), "text")
     marked = _with_null_ids(base, width)

@@ -141,6 +141,29 @@ def test_suffix_dedup_odd_tables(spark, no_docs):
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in got) == [("7", 0), ("8", 300), ("9", 0), ("None", 0)]
 
 
+def test_suffix_dedup_repeated_ids(spark):
+    """Of rows with the same id and text each keeps what the document keeps; with different texts they are documents of their own."""
+    from corpus_pipeline import suffix_stage
+
+    rng = np.random.default_rng(8)
+    shared, own, far = ("".join(map(chr, rng.integers(97, 123, n))) for n in (150, 250, 300))
+    t, u = shared + own, own[:120] + "-" + shared + "+" + far
+    for rows in ([(7, t), (7, t)], [(7, t), (7, u)], [(3, far), (7, t), (7, u), (7, t), (7, None), (7, ""), (8, u), (8, u), (None, t)]):
+        texts = sorted({(i, x or "") for i, x in rows if i is not None}, key=lambda r: (r[0], hashlib.sha256(r[1].encode()).digest()))
+        gone = brute_spans([(k, x) for k, (_, x) in enumerate(texts)], 100)
+        rest = {r: np.frombuffer(r[1].encode(), np.uint8)[~gone[k]].tobytes().decode() for k, r in enumerate(texts)}
+        rest[None, t] = t
+        left = [rest[i, x or ""] for i, x in rows]
+        got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(
+            (str(i), len(x or ""), len(x or "") - len(y), hashlib.sha256(y.encode()).hexdigest()) for (i, x), y in zip(rows, left, strict=True)
+        )
+        docs = spark.createDataFrame([(i, x, k, len(x or "")) for k, (i, x) in enumerate(rows)], "doc_id long, text string, k int, n_chars long")
+        out = suffix_stage(spark, docs, "")
+        assert out.schema == docs.schema
+        assert sorted((r["k"], r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()) == [(k, i, None if x is None else y, None if x is None else len(y)) for k, ((i, x), y) in enumerate(zip(rows, left, strict=True))]
+
+
 def test_run_length_index_samples():
     rng = np.random.default_rng(2)
     texts = [rng.integers(97, 100, n).astype(np.uint8).tobytes() for n in (40, 60, 35)]
