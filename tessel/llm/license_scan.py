@@ -1,7 +1,8 @@
 """License scans: canonical digest lookup of entire texts.
 
-A text is normalised (case, punctuation, copyright lines, equivalent spellings, white space), its canonical form hashed, and the digest
+A text is normalised (case, punctuation, copyright statements, equivalent spellings, white space), its canonical form hashed, and the digest
 joined to the digests of known licence texts. Only whole texts match: a page that merely quotes a licence has another digest.
+Known are the texts below and those in the folder licenses, each with and without its title or appendix, line breaks and list numbers.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator, Mapping
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,17 +28,34 @@ SPELLINGS = {
     "version 2 0": "version 2", "version 3 0": "version 3", "v2 0": "version 2", "v3": "version 3",
 }
 
-_COPYRIGHT = re.compile(r"^\W*(?:copyright\b\W*(?:\(c\)|©|[0-9])|\(c\)\s|©|all rights reserved|portions copyright\b).*$", re.I | re.M)
+# a copyright statement is a mark, years and at most 20 words of a holder's name (capitals, connectors, addresses), up to the last of them before: all rights
+# reserved, the opening of a licence, a full stop or the end of the line; a mark without such an end goes alone
+_YEARS = r"(?:(?:(?:19|20)\d\d|present)(?:[\s,–-]*(?:(?:19|20)\d\d|present))*|[\[<{](?:year|yyyy)s?[\]>}]|yyyy)\b"
+_MARK = rf"""(?:
+    (?:portions\s+)?copyright\b[\s:]*(?:(?:\(c\)|©)(?:[\s:,]*(?:copyright\b[\s:,]*)?{_YEARS})?|{_YEARS})
+  | (?:\(c\)|©)[\s:,]*(?:copyright\b[\s:,]*)?{_YEARS}
+  | ^[^\w\n©]*+(?:©|portions\s+copyright\b|copyright\s+(?=[0-9]))
+)"""
+_OPENING = r"(?:permission\s+(?:is|to)\b|redistributions?\s+(?:and|of|in)\b|(?:licen[sc]ed|released|distributed)\s+under\b|this\s+(?:\w+\s+)?(?:is|may|software|program|library|work|file)\b|everyone\s+is\b|the\s+above\b)"
+_RIGHTS = r"all\s+rights\s+reserved\b\.?"
+_NAME = rf"(?!{_OPENING}|{_RIGHTS})(?:(?:and|of|the|for|by|de|von|van|its|et|al|other|others|authors?|contributors?|holders?|present)\b|<[^<>\n]{{1,80}}>|\[[^\[\]\n]{{1,80}}\]|\([^()\n]{{1,80}}\)|https?://[^\s<>]+|[\w.+-]+@[\w.-]+\w|&|(?-i:[A-Z0-9À-￿])[\w&'’/-]*(?:\.\w+)*)"
+_COPYRIGHT = re.compile(
+    rf"{_MARK}(?:[:,]?(?:(?>[ \t,]*{_NAME})(?!\w)(?>[.,;]*)){{0,20}}(?:[ \t.,;]{{0,4}}{_RIGHTS}|(?<=[.])(?=\s)|[ \t]{{0,4}}(?=\b{_OPENING})|[ \t]{{0,4}}$)|[:,;]?(?:[ \t]{{1,4}}(?>\S{{1,60}})(?!\S)(?<!\.)){{1,5}}[ \t]{{0,4}}$)?"
+    r"|^[^\w\n]*+all\ rights\ reserved\b\.?|^[^\w\n(]*+\(c\)[ \t]+(?-i:[A-Z][\w.&'-]*)(?:[ ,]+(?-i:[A-Z][\w.&'-]*)){0,5}[ \t]*$",
+    re.I | re.M | re.X,
+)
+_CONTRIBUTORS = re.compile(r"\bneither the names? of .{1,120}? nor the names of (?:its|their|any|the) contributors\b")
 _OTHER = re.compile(r"[^\w]+|_+")
 _SAME = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, SPELLINGS), key=len, reverse=True)) + r")\b")
 
 
 def canonical(text: str | None) -> str:
-    """Lower case, no copyright lines, words parted by single blanks, spellings made equal."""
+    """Lower case, no copyright statements, words parted by single blanks, spellings and the name in BSD's third condition made equal."""
     if not text:
         return ""
     t = _OTHER.sub(" ", _COPYRIGHT.sub("", text).casefold()).strip()
-    return _SAME.sub(lambda m: SPELLINGS[m.group()], t)
+    t = _SAME.sub(lambda m: SPELLINGS[m.group()], t)
+    return _CONTRIBUTORS.sub("neither the name of the copyright holder nor the names of its contributors", t) if "nor the names of" in t else t
 
 
 def digest(text: str | None) -> str | None:
@@ -65,20 +84,45 @@ Permission is granted to anyone to use this software for any purpose, including
 }
 
 
+# fixed values: titles that texts without one of their own are distributed with
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"], "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"], "Zlib": ["zlib License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", "BSD License"], "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", "BSD License", "The BSD License"],
+    "CC0-1.0": ["CC0 1.0 Universal"], "Unlicense": ["The Unlicense"],
+}
+_END = "END OF TERMS AND CONDITIONS"
+_NUMBER = re.compile(r"^[ \t]*[0-9]\.[ \t]", re.M)
+
+
+def known_digests() -> list[tuple[str, str]]:
+    """(license, digest) of KNOWN and of the files in the folder licenses, named after their licences (.regents: another wording)."""
+    texts = [*KNOWN.items()]
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        texts.append((path.stem.removesuffix(".regents"), path.read_text(encoding="utf-8")))
+    out = set()
+    for name, text in texts:
+        forms = [text]
+        if _END in text:  # without the appendix on how to apply the terms
+            forms += [text[: text.index(_END)], text[: text.index(_END) + len(_END)]]
+        if name.startswith("BSD") or name == "Zlib":
+            forms.append(_NUMBER.sub("", text))
+        forms += [f"{title}\n\n{f}" for f in forms for title in TITLES.get(name, [])]
+        out |= {(name, digest(f)) for x in forms for f in (x, " ".join(x.split()))}
+    return sorted(out)
+
+
 def scan(docs: DataFrame, known: Mapping[str, str] | DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, digest (sha256 of the canonical form; null if that is empty) and license (null: none) of every row.
 
-    known maps names to texts, or is a DataFrame (license, digest). Of known licences with one digest the smallest name holds.
+    known maps names to texts, or is a DataFrame (license, digest); without it the known_digests() hold. Of known licences with one digest the smallest name holds.
     Null and empty texts have no digest and no licence; repeated rows are looked up each.
     """
     spark = docs.sparkSession
     bounded_batches(spark, 1000)
     docs = named(docs, row_id=id_col, text=text_col)
     kind = docs.schema["row_id"].dataType.simpleString()
-    if known is None:
-        known = KNOWN
     if not isinstance(known, DataFrame):
-        known = spark.createDataFrame([(k, digest(v)) for k, v in known.items()], "license string, digest string")
+        known = spark.createDataFrame(known_digests() if known is None else [(k, digest(v)) for k, v in known.items()], "license string, digest string")
     table = named(known, license="license", digest="digest").where("digest IS NOT NULL").groupBy("digest").agg(F.min("license").alias("license"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

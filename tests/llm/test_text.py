@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -172,6 +173,22 @@ def test_license_scan(spark, docs, corpus, no_docs):
     assert {r["doc_id"] for r in license_scan.scan(docs, table).where("license = 'A'").collect()} == {3, 4}
 
 
+def test_license_scan_knows_whole_texts(spark):
+    folder = Path(license_scan.__file__).parent / "licenses"
+    texts = {p.stem: p.read_text() for p in sorted(folder.glob("*.txt"))}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(texts)
+    mit = license_scan.KNOWN["MIT"]
+    bsd = texts["BSD-3-Clause"].replace("the copyright holder nor", "Foo, Inc. nor")
+    rows = [(t, n.removesuffix(".regents")) for n, t in texts.items()] + [(" ".join(t.split()), n.removesuffix(".regents")) for n, t in texts.items()]
+    rows += [(texts[n].split("END OF TERMS")[0], n) for n in ("Apache-2.0", "GPL-2.0", "GPL-3.0")]
+    for mark in ("Copyright (c) 2020 X.", "Copyright 2019-2021 J. Doe and Foo, Inc.", "MIT License Copyright (c) 2020 Jane Doe", "The MIT License (MIT)\n\nCopyright (c) 2014, 2016 A. B. All rights reserved.", "© 2020 X"):
+        rows += [(f"{mark} {mit}", "MIT"), (f"{mark} {' '.join(mit.split())}", "MIT"), (f"{mark}\n\n{mit}", "MIT"), (f"{mark} It is a novel. {mit}", None)]
+    rows += [("BSD 3-Clause License\n\nCopyright (c) 2020, Foo, Inc.\nAll rights reserved.\n\n" + bsd, "BSD-3-Clause"), (bsd.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "), "BSD-3-Clause")]
+    rows += [(mit + "\nCopyright 2020 X. Another text stands here.", None), (texts["Apache-2.0"] + "\nReally.", None)]
+    got = license_scan.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["license"] for r in got} == {i: n for i, (_, n) in enumerate(rows)}
+
+
 # ---- toxicity ----------------------------------------------------------------------------------------------------------------------------
 
 
