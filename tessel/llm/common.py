@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +24,12 @@ U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary one, a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         path = tempfile.mkdtemp(prefix="tessel-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -35,9 +42,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keep Arrow batches small, so that a batch of very long texts fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches in rows and bytes, so that a batch of very long texts fits a Python worker; the same bounds for all operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+def give_back() -> None:
+    """Return freed memory to the system; idle workers would otherwise hold it beside the next stage's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        return
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for mapInArrow, with Arrow buffers from the system allocator and freed memory given back when a task ends."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
 
 
 def small_join(left: DataFrame, right: DataFrame, on, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -85,37 +117,45 @@ def seeds(n: int, salt: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15) + U(salt))
 
 
-_B = 0x5851F42D4C957F2D
-_BYTE = seeds(256, 77) | U(1)
-_POW: list[np.ndarray] = []
+#: Of each hash its base and its bytes' values.
+_HASHES = tuple((base, seeds(256, salt) | U(1)) for base, salt in ((0x5851F42D4C957F2D, 77), (0x2545F4914F6CDD1D, 78)))
+_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(B^i, B^-i) modulo 2^64 for i <= n; kept for slices of the usual size."""
-    if not _POW or len(_POW[0]) <= n:
-        out = []
-        for base in (_B, pow(_B, -1, 1 << 64)):
-            p = np.ones(1, np.uint64)
-            step = base
-            while len(p) <= n:
-                p = np.concatenate([p, p * U(step)])
-                step = step * step % (1 << 64)
-            out.append(p)
-        _POW[:] = out
-    return _POW[0], _POW[1]
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(base^i, base^-i) modulo 2^64 for i <= n; kept for slices of the usual size."""
+    if base in _POW and len(_POW[base][0]) > n:
+        return _POW[base]
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        p = np.ones(1, np.uint64)
+        step = b
+        while len(p) <= n:
+            p = np.concatenate([p, p * U(step)])
+            step = step * step % (1 << 64)
+        out.append(p)
+    if n <= 2 * SLICE_BYTES:
+        _POW[base] = out[0], out[1]
+    return out[0], out[1]
 
 
 class RollingHash:
-    """Polynomial hashes of all substrings of a byte array, modulo 2^64."""
+    """Polynomial hashes of all substrings of a byte array, modulo 2^64; which selects one of two independent ones."""
 
-    def __init__(self, data: np.ndarray):
-        self.power, self.inverse = _powers(len(data) + 1)
+    def __init__(self, data: np.ndarray, which: int = 0):
+        base, value = _HASHES[which]
+        self.power, self.inverse = _powers(base, len(data) + 1)
         self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * self.power[: len(data)], out=self.prefix[1:])
+        np.cumsum(value[data] * self.power[: len(data)], out=self.prefix[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix((self.prefix[stop] - self.prefix[start]) * self.inverse[start] + (stop - start).astype(np.uint64))
 
+    def plain(self, width: int) -> np.ndarray:
+        """Lightly mixed hashes of all substrings of one width, in order."""
+        h = (self.prefix[width:] - self.prefix[:-width]) * self.inverse[: len(self.prefix) - width]
+        return (h ^ (h >> U(32))) * U(0x9E3779B97F4A7C15)
+
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
@@ -142,3 +182,20 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def named(df: DataFrame, **columns: str) -> DataFrame:
     """Only the columns an operator needs, under its own names, whatever else the table holds."""
     return df.select(*[df[c].alias(k) for k, c in columns.items()])
+
+
+def by_first(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each value of the first column, of batches that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if held and keys[a] != last:
+                yield held
+                held = []
+            last = keys[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held

@@ -118,7 +118,7 @@ def scan(docs: DataFrame, known: Mapping[str, str] | DataFrame | None = None, id
     Null and empty texts have no digest and no licence; repeated rows are looked up each.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 1000)
+    bounded_batches(spark)
     docs = named(docs, row_id=id_col, text=text_col)
     kind = docs.schema["row_id"].dataType.simpleString()
     if not isinstance(known, DataFrame):

@@ -186,7 +186,7 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     Equal texts give equal values, so repeated rows do; an empty text is one frame of spaces.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 1000)
+    bounded_batches(spark)
     docs = named(docs, row_id=id_col, text=text_col)
     kind = docs.schema["row_id"].dataType.simpleString()
     more = ", seek_crc32 long" + (", media binary, seek_offsets array<long>" if keep_media else "")

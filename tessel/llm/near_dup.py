@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if percent < 80:
         raise ValueError("the bands are chosen for a similarity of 0.8 or more")
     spark = docs.sparkSession
-    bounded_batches(spark, 1000)
+    bounded_batches(spark)
     text = named(docs, row_id=id_col, text=text_col).withColumn("row_id", F.col("row_id").cast("long"))
     sig = materialize(sketches(text, width), "near-sketches")
     some = sig.where((F.col("n") > 0) & F.col("row_id").isNotNull())

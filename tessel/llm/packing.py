@@ -178,7 +178,7 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[pa.Array], tuple[np.nd
     text's first id position. A document of no tokens has no piece; rows that repeat a doc_id are packed each by itself.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 1000)
+    bounded_batches(spark)
     groups = max(1, -(-docs.count() // group_docs))
     docs = named(docs, row_id=id_col, text=text_col).withColumn("grp", F.pmod(F.xxhash64("row_id"), F.lit(groups)).cast("int"))
     kind = docs.schema["row_id"].dataType.simpleString()

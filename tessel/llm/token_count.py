@@ -114,7 +114,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     Each batch looks up only its distinct words, and a worker remembers the counts of short words between batches.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 2000)
+    bounded_batches(spark)
     docs = named(docs, row_id=id_col, text=text_col)
     kind = docs.schema["row_id"].dataType.simpleString()
     automaton = spark.sparkContext.broadcast(LongestMatch(byte_vocabulary(vocabulary_path)))

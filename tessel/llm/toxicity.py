@@ -214,7 +214,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
 
 def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """id_col, score, clauses (with a hit), predicted for every row; null and empty texts score as texts without a hit, repeated rows alike."""
-    bounded_batches(docs.sparkSession, 1000)
+    bounded_batches(docs.sparkSession)
     docs = named(docs, row_id=id_col, text=text_col)
     kind = docs.schema["row_id"].dataType.simpleString()
 
@@ -231,7 +231,7 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
 
 def without_toxic(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of docs, all columns, that score below the threshold; no shuffle."""
-    bounded_batches(docs.sparkSession, 1000)
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

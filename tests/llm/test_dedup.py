@@ -124,6 +124,27 @@ def test_suffix_dedup_agrees_with_brute_force(docs, corpus, width):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(raw), int(gone.sum()), spans, hashlib.sha256(rest).hexdigest()), r["doc_id"]
 
 
+def test_suffix_dedup_of_hot_anchors(spark):
+    """Windows dealt by document because an anchor is hot give the same as windows of one bucket."""
+    rng = np.random.default_rng(6)
+    make = lambda n: "".join(map(chr, rng.integers(97, 101, n)))
+    passage = make(400)
+    rows = [(k, make(rng.integers(0, 300)) + passage[rng.integers(0, 150) : 400 - rng.integers(0, 150)] + make(200)) for k in range(60)]
+    expected = brute_spans(rows, 100)
+    for hot in (1, 5, 2000):
+        got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), hot=hot).collect()
+        assert {r["doc_id"]: r["n_removed"] for r in got} == {i: int(m.sum()) for i, m in expected.items()}
+
+
+def test_suffix_dedup_of_texts_longer_than_a_slice(spark):
+    rng = np.random.default_rng(7)
+    long = "".join(map(chr, rng.integers(97, 123, 3 * suffix_dedup.SLICE)))
+    edge = suffix_dedup.SLICE
+    rows = [(1, long), (2, "-" + long[edge - 150 : edge + 150] + "+" + long[-120:]), (3, long + long[:100])]
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_removed"], r["n_spans"]) for r in got) == [(1, 0, 0), (2, 420, 2), (3, len(long) + 100, 1)]
+
+
 def test_without_repeats_keeps_rows_and_columns(docs, corpus):
     expected = brute_spans(corpus, 100)
     got = suffix_dedup.without_repeats(docs)
@@ -169,7 +190,7 @@ def test_run_length_index_samples():
     texts = [rng.integers(97, 100, n).astype(np.uint8).tobytes() for n in (40, 60, 35)]
     texts += [texts[0], texts[1][:30] + texts[0][5:25], texts[1]]
     symbols = np.concatenate([np.concatenate([np.frombuffer(t, np.uint8).astype(np.int16) + 1, [0]]) for t in texts]).astype(np.int16)
-    index = suffix_dedup.RunLengthIndex(symbols, 61)
+    index = suffix_dedup.RunLengthIndex(symbols)
     length, source = index.matching_statistics()
     assert len(index.runs) < len(symbols)
     ends = np.flatnonzero(symbols == 0)
