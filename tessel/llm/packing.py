@@ -1,17 +1,17 @@
 """Packing: Karmarkar-Karp multiway differencing of token pieces into near-equal windows.
 
-Documents are tokenised once and dealt to groups of a bounded number of documents. A document's full windows (4096 ids)
-are sequences of their own; what is left of it is cut into pieces of at most PIECE ids. In each group the pieces of T ids go to
-n = ceil(T / 4096) windows: every piece starts as a partition of n sums (one piece, else empty), and the two partitions with the
-largest spread are merged again and again, the largest sums of one meeting the smallest of the other. If a window comes out over
-capacity, n rises by one and the differencing is done again; where n has risen by a 64th, pieces are halved first. Neighbouring pieces of a
-document that meet in one window are joined again. In a group of FEW windows one more would pad a lot: there the ids beyond whole windows go to
-sequences whose lengths are powers of two, which take no padding, and what differencing leaves over capacity is moved to windows with room.
+Documents are tokenised once and dealt to groups by their ids and texts, so neither a repeated id nor a missing one gathers rows.
+A document's full windows (4096 ids) are sequences of their own; what is left of it is cut into pieces of at most PIECE ids. Of a group's T ids
+n = floor(T / 4096) windows take all but SLACK ids for each window, and what is beyond them goes to sequences whose lengths are powers of two, which take
+no padding. Every piece starts as a partition of n sums (one piece, else empty), and the two partitions with the largest spread are merged again and
+again, the largest sums of one meeting the smallest of the other. If a window comes out over capacity, pieces are halved, and where they are as
+small as FINEST the number of windows rises by one, until none is. Neighbouring pieces of a document that meet in one window are joined again.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_batches, named, slices, utf8
+from .common import LOWER, bounded_batches, lean, named, slices, utf8
 
 CAPACITY = 4096
-PIECE = 1024
+PIECE, FINEST = 512, 16
+#: Ids that a window is left short of its capacity, for sums that differ.
+SLACK = 8
 GROUP_DOCS = 256
-#: Groups of at most so many windows are levelled instead of getting one more window.
-FEW = 8
 
 
 def differencing(sizes: list[int], windows: int) -> np.ndarray:
@@ -71,7 +71,7 @@ def differencing(sizes: list[int], windows: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def pack_group(lengths: list[int], capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int, int, int, int, int]]:
+def pack_group(lengths: list[int], capacity: int = CAPACITY, piece: int = PIECE, slack: int = SLACK) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of the documents of one group, in a fixed order.
 
     Zero lengths give no piece. Every id is in exactly one piece; sequences are gapless from offset 0.
@@ -86,51 +86,36 @@ def pack_group(lengths: list[int], capacity: int = CAPACITY, piece: int = PIECE)
         if n > whole:
             rest.append((d, whole, n - whole))
     total = sum(n for _, _, n in rest)
-    windows = -(-total // capacity)
-    few = windows <= FEW
-    if few and total % capacity:
-        # few windows: raising their count would pad a lot, so the ids beyond whole windows fill powers of two
-        spare = total % capacity
-        parts = [1 << b for b in range(spare.bit_length() - 1, -1, -1) if spare >> b & 1]
-        while parts:
+    windows = total // capacity
+    spare = total - windows * max(0, capacity - slack)
+    while spare:  # sequences of a power of two each
+        room = min(1 << spare.bit_length() - 1, 1 << capacity.bit_length() - 1)
+        spare -= room
+        offset = 0
+        while room:
             d, at, n = rest.pop()
-            offset = 0
-            room = parts.pop(0)
-            while True:
-                take = min(n, room)
-                out.append((d, at, take, seq, offset))
-                at, n, offset, room = at + take, n - take, offset + take, room - take
-                if n and not room and parts:
-                    seq, offset, room = seq + 1, 0, parts.pop(0)
-                elif room:
-                    d, at, n = rest.pop()
-                else:
-                    break
-            seq += 1
-            if n:
-                rest.append((d, at, n))
-        windows -= 1
-    least = windows
-    if not rest:
-        return out
-    while True:
+            take = min(n, room)
+            out.append((d, at, take, seq, offset))
+            offset, room = offset + take, room - take
+            if take < n:
+                rest.append((d, at + take, n - take))
+        seq += 1
+    while rest:
         cut = []
         for d, at, n in rest:
             parts = -(-n // piece)
             edges = [at + n * k // parts for k in range(parts + 1)]
             cut += [(d, a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
         window = differencing([n for _, _, n in cut], windows)
-        if few:
-            cut, window = levelled(cut, window, windows, capacity)
-            break
         if np.bincount(window, [n for _, _, n in cut], windows).max() <= capacity:
             break
-        windows += 1
-        if windows > least + least // 64 and piece > 64:  # pieces too coarse to be balanced: cut finer and start again
-            windows, piece = least, piece // 2
+        if piece > FINEST:  # too coarse to be balanced: cut finer
+            piece = max(FINEST, piece // 2)
+        else:
+            windows += 1
     filled: dict[int, int] = {}
     last: dict[int, tuple[int, int, int, int, int]] = {}
-    for (d, at, n), w in zip(cut, window.tolist(), strict=True):
+    for (d, at, n), w in zip(cut, window.tolist(), strict=True) if rest else ():
         o = filled.get(w, 0)
         filled[w] = o + n
         p = last.get(w)
@@ -143,31 +128,6 @@ def pack_group(lengths: list[int], capacity: int = CAPACITY, piece: int = PIECE)
     return out + list(last.values())
 
 
-def levelled(cut: list[tuple[int, int, int]], window: np.ndarray, windows: int, capacity: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
-    """What windows have over capacity cut off and put into those with room."""
-    room = (capacity - np.bincount(window, [n for _, _, n in cut], windows)).astype(int).tolist()
-    kept, spare = [], []
-    for (d, at, n), w in zip(cut, window.tolist(), strict=True):
-        take = min(n, max(0, -room[w]))
-        room[w] += take
-        if take < n:
-            kept.append(((d, at, n - take), w))
-        if take:
-            spare.append((d, at + n - take, take))
-    w = 0
-    while spare:
-        d, at, n = spare.pop()
-        while room[w] <= 0:
-            w += 1
-        take = min(n, room[w])
-        room[w] -= take
-        kept.append(((d, at, take), w))
-        if take < n:
-            spare.append((d, at + take, n - take))
-    kept.sort(key=lambda x: x[0][:2])
-    return [p for p, _ in kept], np.array([w for _, w in kept], np.int64)
-
-
 PIECES = "length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -175,20 +135,22 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[pa.Array], tuple[np.nd
     """id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece.
 
     encoder() makes, on a worker, a function from an Arrow string array (null: empty) to all ids (uint32) and each
-    text's first id position. A document of no tokens has no piece; rows that repeat a doc_id are packed each by itself.
+    text's first id position. A document of no tokens has no piece; rows that repeat a doc_id, and rows whose id is null, are packed each by itself;
+    a very long text is tokenised whole and fills windows of its own. Only rows that agree in both id and text share a group for certain.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     groups = max(1, -(-docs.count() // group_docs))
-    docs = named(docs, row_id=id_col, text=text_col).withColumn("grp", F.pmod(F.xxhash64("row_id"), F.lit(groups)).cast("int"))
+    docs = named(docs, row_id=id_col, text=text_col).withColumn("grp", F.pmod(F.xxhash64("row_id", "text"), F.lit(groups)).cast("int"))
     kind = docs.schema["row_id"].dataType.simpleString()
 
+    @lean
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
         for batch in batches:
             text = batch.column(1)
             _, offs = utf8(text)
-            for i, j in slices(offs, 1 << 20):
+            for i, j in slices(offs):
                 ids, first = encode(text.slice(i, j - i))
                 data = np.ascontiguousarray(ids, np.uint32)
                 blob = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((first * 4).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
@@ -224,6 +186,9 @@ _KIND[97:123] = _LETTER
 _KIND[48:58] = _DIGIT
 _KIND[128:] = _WIDE
 _KIND[39] = _QUOTE
+#: The sign that byte-level vocabularies write for a byte: bytes without a visible one take the signs from 256 on, in order.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTE_SIGNS = {b: chr(256 + k) for k, b in enumerate(_HIDDEN)}
 
 
 class WordEncoder:
@@ -231,8 +196,8 @@ class WordEncoder:
 
     For tokenizers that lower-case, drop white space and split at changes between letters, single digits and other signs, such as
     word_bpe_49k.json. Texts are cut where no token can cross: at blanks, tabs and line feeds, and inside ASCII between letters, digits and signs,
-    but not at an apostrophe or a wide character, nor in a word with the beginning of a special token. Only new pieces go to the tokenizer, many joined
-    by a sign that none of them has. Pieces are kept in two generations: what the last KEEP new pieces' time did not use is forgotten.
+    but not at an apostrophe or a wide character, nor in a word with the beginning of a special token. Only new pieces go to the tokenizer: words of small
+    Latin letters to its model, others joined by a sign that none of them has. Pieces are kept in two generations: what the last KEEP new pieces' time did not use is forgotten.
     """
 
     KEEP = 150_000
@@ -244,6 +209,7 @@ class WordEncoder:
         self.last = last
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.plain = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
         self.joint = self.tokenizer.encode("\x01", add_special_tokens=False).ids
 
     def _encode(self, pieces: list[bytes]) -> list[bytes]:
@@ -263,7 +229,7 @@ class WordEncoder:
 
     def _ids(self, pieces: list[bytes]) -> list[bytes]:
         young, old = self.young, self.old
-        out = [young.get(p) for p in pieces]
+        out = list(map(young.get, pieces))
         missing = [k for k, v in enumerate(out) if v is None]
         new = []
         for k in missing:
@@ -271,8 +237,16 @@ class WordEncoder:
                 new.append(k)
             else:
                 out[k] = young[pieces[k]] = v
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        # small Latin letters alone are one word of the tokenizer and go to its model at once
+        tokenize, words = self.tokenizer.model.tokenize, self.plain.fullmatch
+        mixed = []
+        for k in new:
+            if words(p := pieces[k]):
+                out[k] = young[p] = np.array([t.id for t in tokenize(p.decode("latin-1").translate(_BYTE_SIGNS))], np.uint32).tobytes()
+            else:
+                mixed.append(k)
+        for at in range(0, len(mixed), 20_000):
+            part = mixed[at : at + 20_000]
             for k, v in zip(part, self._encode([pieces[k] for k in part]), strict=True):
                 out[k] = young[pieces[k]] = v
         if len(young) > self.KEEP:
@@ -285,23 +259,16 @@ class WordEncoder:
 
         data, offs = utf8(text)
         starts, stops, data, per_doc = _pieces(data, offs)
-        if len(starts):
-            words = _words(data, starts, stops).dictionary_encode()
-            ids = self._ids(words.dictionary.to_pylist())
-            flat = np.frombuffer(b"".join(ids), np.uint32)
-            size = np.array([len(v) for v in ids], np.int64) // 4
-            first = np.cumsum(size) - size
-            at = words.indices.to_numpy()
-            sizes = size[at]
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            flat = flat[np.arange(ends[-1]) + np.repeat(first[at] - ends[:-1], sizes)]
-        else:
-            flat, ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
-        first = ends[per_doc]
-        if self.last is not None:
-            flat = np.insert(flat, first[1:], np.uint32(self.last))
-            first = first + np.arange(len(first))
-        return flat, first
+        words = _words(data, starts, stops).dictionary_encode()
+        ids = self._ids(words.dictionary.to_pylist())
+        at, mark = words.indices.to_numpy(), np.arange(len(per_doc))
+        if self.last is not None:  # one more word, that closes each text
+            at = np.insert(at, per_doc[1:], np.int32(len(ids)))
+            ids.append(np.uint32(self.last).tobytes())
+            per_doc = per_doc + mark
+        size = np.array([len(v) for v in ids], np.int64) // 4
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)])), pa.array(np.frombuffer(b"".join(ids), np.uint32))).take(pa.array(at))
+        return lists.values.to_numpy(), lists.offsets.to_numpy()[per_doc]
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
