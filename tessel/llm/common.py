@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once inside a Python worker; a longer single text is still taken whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: A table of at most this many rows of one or two integers may be broadcast (about 16 MB).
 BROADCAST_ROWS = 1_000_000
 
@@ -134,7 +134,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.concatenate([p, p * U(step)])
             step = step * step % (1 << 64)
         out.append(p)
-    if n <= 2 * SLICE_BYTES:
+    if n <= 4 * SLICE_BYTES:
         _POW[base] = out[0], out[1]
     return out[0], out[1]
 

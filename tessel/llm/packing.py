@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, bounded_batches, lean, named, slices, utf8
 
 CAPACITY = 4096
-PIECE, FINEST = 512, 16
+PIECE, FINEST = 1024, 16
 #: Ids that a window is left short of its capacity, for sums that differ.
 SLACK = 8
 GROUP_DOCS = 256
@@ -150,7 +151,7 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[pa.Array], tuple[np.nd
         for batch in batches:
             text = batch.column(1)
             _, offs = utf8(text)
-            for i, j in slices(offs):
+            for i, j in slices(offs, 1 << 20):
                 ids, first = encode(text.slice(i, j - i))
                 data = np.ascontiguousarray(ids, np.uint32)
                 blob = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((first * 4).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
@@ -200,7 +201,7 @@ class WordEncoder:
     Latin letters to its model, others joined by a sign that none of them has. Pieces are kept in two generations: what the last KEEP new pieces' time did not use is forgotten.
     """
 
-    KEEP = 150_000
+    KEEP = 120_000
 
     def __init__(self, path: str, last: int | None = 2):
         from tokenizers import Tokenizer
@@ -242,7 +243,8 @@ class WordEncoder:
         mixed = []
         for k in new:
             if words(p := pieces[k]):
-                out[k] = young[p] = np.array([t.id for t in tokenize(p.decode("latin-1").translate(_BYTE_SIGNS))], np.uint32).tobytes()
+                sign = p.decode() if p.isascii() else p.decode("latin-1").translate(_BYTE_SIGNS)
+                out[k] = young[p] = array("I", [t.id for t in tokenize(sign)]).tobytes()
             else:
                 mixed.append(k)
         for at in range(0, len(mixed), 20_000):
