@@ -6,7 +6,8 @@ two sketches estimates how many samples differ, precisely for similar sets, and
 
 No bucket is expanded into all its pairs. Texts with equal sets are one node. First each bucket links its members to its smallest one, its centre. Members
 of a centre that these links leave in different components are then compared across components, those outside the largest component with all: the join
-tests the sketches and then the exact difference, and only links come out of it. So a group of copies costs a link for each copy.
+tests the sketches and then the exact difference, and only links come out of it. So a group of copies costs a link for each copy. Joins by a
+centre that very many members share are plain joins of stored tables, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, RollingHash, U, bounded_batches, materialize, mix, named, seeds, slices, small_join, utf8, word_bounds
+from .common import LOWER, RollingHash, U, bounded_batches, lean, materialize, mix, named, seeds, slices, small_join, utf8, word_bounds
 
 SAMPLES, ROWS = 128, 4
 BITS = 512
@@ -56,6 +57,18 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     return sh[new], total[edges]
 
 
+def set_hashes(sets: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes (as int64) of each set; of empty ones 0."""
+    out = []
+    full = np.flatnonzero(np.diff(edges))
+    for salt in (0xA5A5, 0x5A5A5A):
+        h = np.zeros(len(edges) - 1, np.uint64)
+        if len(full):
+            h[full] = np.add.reduceat(mix(sets ^ U(salt)), edges[:-1][full])
+        out.append(h.view(np.int64))
+    return out[0], out[1]
+
+
 def signatures(sets: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(MinHash samples, odd sketches as 8 words) of sets that are not empty."""
     n = len(edges) - 1
@@ -89,6 +102,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     band_keys = seeds(ROWS, 5) | U(1)
     band_no = seeds(SAMPLES // ROWS, 6)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = utf8(batch.column(1))
@@ -96,16 +110,14 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 sets, edges = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)
                 n = np.diff(edges)
                 full = np.flatnonzero(n)
-                hi, lo = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
+                hi, lo = set_hashes(sets, edges)
                 cols = [pa.nulls(j - i, pa.list_(pa.int64()))] * 2
                 if len(full):
                     own = np.concatenate([edges[:-1][full], edges[-1:]])
-                    hi[full] = np.add.reduceat(mix(sets ^ U(0xA5A5)), own[:-1])
-                    lo[full] = np.add.reduceat(mix(sets ^ U(0x5A5A5A)), own[:-1])
                     samples, words = signatures(sets, own)
                     bands = mix((samples.reshape(len(full), -1, ROWS) * band_keys).sum(2) + band_no).view(np.int64)
                     cols = [_lists(x, full, j - i) for x in (bands, words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), *cols], names=["row_id", "n", "hi", "lo", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(hi), pa.array(lo), *cols], names=["row_id", "n", "hi", "lo", "bands", "sketch"])
 
     return docs.mapInArrow(run, f"row_id {kind}, n long, hi long, lo long, bands array<long>, sketch array<long>")
 
@@ -119,16 +131,18 @@ def _lists(rows: np.ndarray, at: np.ndarray, n: int) -> pa.Array:
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """row_id and its whole shingle set as array<long>."""
+    """row_id, a 128-bit hash (hi, lo) and the whole shingle set as array<long> of each row."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = utf8(batch.column(1))
             for i, j in slices(offs):
                 sets, edges = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["row_id", "shingle"])
+                hi, lo = set_hashes(sets, edges)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(hi), pa.array(lo), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["row_id", "hi", "lo", "shingle"])
 
-    return docs.mapInArrow(run, "row_id long, shingle array<long>")
+    return docs.mapInArrow(run, "row_id long, hi long, lo long, shingle array<long>")
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -157,7 +171,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are runs without white space, A-Z lower-cased; a set has the distinct shingles of width words, or the whole sequence of a shorter
     text. Two texts are linked at 100 * |A and B| >= percent * |A or B|. component_id is the smallest id reachable; kept marks that
-    row. Texts without words (null, empty) are linked with nothing. Rows that repeat an id are one document; a row whose id is null has no
+    row. Shingles are compared by 64-bit hashes, sets whole. Texts without words (null, empty) are linked with nothing, very long texts are taken whole.
+    Rows that repeat an id are one document; with different texts it is the one with the smallest set, by size and hash. A row whose id is null has no
     component and is kept. Ids must be integers. The samples are chosen for percent of 80 or more; smaller values raise ValueError.
     """
     if percent < 80:
@@ -167,13 +182,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = named(docs, row_id=id_col, text=text_col).withColumn("row_id", F.col("row_id").cast("long"))
     sig = materialize(sketches(text, width), "near-sketches")
     some = sig.where((F.col("n") > 0) & F.col("row_id").isNotNull())
+    # a repeated id stands for the one of its texts that is the smallest by size and hash of the set
+    repeated = not some.groupBy("row_id").count().where("count > 1").isEmpty()
+    if repeated:
+        some = materialize(some.groupBy("row_id").agg(F.min(F.struct("n", "hi", "lo", "bands", "sketch")).alias("x")).select("row_id", "x.*"), "near-documents")
     classes = some.groupBy("n", "hi", "lo").agg(F.min("row_id").alias("rep"))
     reps = some.join(classes.select(F.col("rep").alias("row_id")).distinct(), "row_id", "left_semi").select("row_id", "n", "bands", "sketch")
     banded = reps.select("row_id", F.explode("bands").alias("band"))
     centres = banded.groupBy("band").agg(F.min("row_id").alias("centre"), F.count("*").alias("k")).where("k > 1").drop("k")
     shared = materialize(banded.join(centres, "band"), "near-buckets")
-    sketch = materialize(reps.join(shared.select("row_id").distinct(), "row_id", "left_semi").select("row_id", "n", "sketch").dropDuplicates(["row_id"]), "near-members")
-    sets = materialize(small_join(text.where("row_id IS NOT NULL"), shared.select("row_id").distinct(), "row_id", "left_semi").transform(lambda d: full_sets(d, width)).dropDuplicates(["row_id"]), "near-sets")
+    sketch = materialize(reps.join(shared.select("row_id").distinct(), "row_id", "left_semi").select("row_id", "n", "sketch"), "near-members")
+    sets = small_join(text.where("row_id IS NOT NULL"), shared.select("row_id").distinct(), "row_id", "left_semi").transform(lambda d: full_sets(d, width))
+    if repeated:
+        sets = sets.where(F.size("shingle") > 0).groupBy("row_id").agg(F.min(F.struct(F.size("shingle").alias("n"), "hi", "lo", "shingle")).alias("x")).select("row_id", "x.shingle")
+    sets = materialize(sets.select("row_id", "shingle"), "near-sets")
 
     side = lambda k: sketch.select(F.col("row_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
     set_of = lambda k, x: sets.select(F.col("row_id").alias(k), F.col("shingle").alias(x))
@@ -193,7 +215,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_centre = labelled.select("b", "c").union(stars.select("b").distinct().join(first.select(F.col("a").alias("b"), "component"), "b", "left").select("b", F.coalesce("component", "b").alias("c")))
     sizes = of_centre.groupBy("b", "c").agg(F.count("*").alias("k"))
     open_ = sizes.groupBy("b").agg(F.max(F.struct("k", (-F.col("c")).alias("c"))).alias("most"), F.count("*").alias("several")).where("several > 1").select("b", (-F.col("most.c")).alias("main"))
-    spread = labelled.join(open_, "b").join(set_of("a", "x"), "a").join(set_of("b", "y"), "b")
+    # one narrow row for each such centre, met without dealing its members by centre where the rows are few
+    open_ = materialize(open_, "near-spread")
+    spread = small_join(labelled, open_, "b", "inner").join(set_of("a", "x"), "a").join(set_of("b", "y"), "b")
     difference = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
     left = materialize(spread.select("b", "a", "c", "main", difference.alias("d")).join(sketch.select(F.col("row_id").alias("a"), "n", "sketch"), "a"), "near-open")
     one = lambda k: left.select(F.col("b").alias("centre"), "main", F.col("a").alias(k), F.col("c").alias(f"c_{k}"), F.col("d").alias(f"d_{k}"), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
