@@ -6,7 +6,7 @@ directions at random with the chance that keeps each fraction's expectation, unt
 keeps its expected words exactly and ends with one document unsettled. Groups form a reduction tree: the first level deals each
 source's documents to groups of about LEAF, every next level merges FAN groups' residuals, up to one document for each source.
 
-Randomness comes from hashes of doc_id and a seed and groups from hashes too, so reruns agree whatever the partitions.
+Randomness comes from hashes of doc_id, text and a seed and groups from hashes too, so reruns agree whatever the partitions.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import U, materialize, mix, named
 
-LEAF = 2048
+LEAF = 512
 FAN = 256
 #: No document is taken more often than this.
 CAP = 3
@@ -32,10 +32,10 @@ def word_count(text: str) -> F.Column:
     return F.coalesce(F.expr(f"regexp_count({text}, '{_WORD}')"), F.lit(0)).cast("long")
 
 
-def settle(ids: np.ndarray, sizes: np.ndarray, parts: np.ndarray, seed: int) -> np.ndarray:
+def settle(keys: np.ndarray, sizes: np.ndarray, parts: np.ndarray, seed: int) -> np.ndarray:
     """Pivotal rounding of the fractions parts, in the given order; all become 0 or 1 but for one at most."""
     out = parts.astype(float).copy()
-    chance = mix(ids.astype(np.int64).view(np.uint64) * U(0x9E3779B97F4A7C15) + U(seed)).astype(float) / 2.0**64
+    chance = mix(keys.astype(np.int64).view(np.uint64) * U(0x9E3779B97F4A7C15) + U(seed)).astype(float) / 2.0**64
     held = -1
     for k in range(len(out)):
         if out[k] <= 1e-12 or out[k] >= 1 - 1e-12 or not sizes[k]:
@@ -78,14 +78,15 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), seed: int = 11, cut_last: bool = True, leaf: int = LEAF) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row.
+    """doc_id, source, row_key, size, source_size, target, copies, taken for every row.
 
     copies is the whole number of times a document is taken; taken counts its words with repeats. Each source's last unsettled
     document is, with cut_last, taken in part (its words make the source's total equal its target to a word); without, it
-    is rounded by chance. Texts without words (or null) have size 0 and are taken 0 times if their source has a target below its size, by chance. Rows that
-    repeat a doc_id are drawn each by itself but share their random number; a null doc_id counts as -1 there.
+    is rounded by chance. Texts without words (or null) have size 0 and are taken 0 times if their source has a target below its size, by chance.
+    Groups and random numbers come from row_key, a hash of id and text, so rows whose id is null or repeated are drawn each by itself unless their text is
+    the same as well; very long texts are only counted. An empty table gives no rows.
     """
-    d = named(docs, id=id_col, text=text_col, source=source_col).select("id", "source", word_count("text").alias("size"))
+    d = named(docs, id=id_col, text=text_col, source=source_col).select("id", "source", word_count("text").alias("size"), F.xxhash64("id", "text").alias("key"))
     d = materialize(d, "mix-sizes")
     per_source = targets(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).drop("n"), weights).withColumnRenamed("source", "of_source")
     rows = d.count()
@@ -93,31 +94,31 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(float(CAP)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     level = (
         d.join(F.broadcast(per_source) if per_source.limit(100_001).count() <= 100_000 else per_source, F.expr("source <=> of_source"))
-        .select("id", "source", "size", "source_size", "target", ratio.alias("r"))
+        .select("id", "key", "source", "size", "source_size", "target", ratio.alias("r"))
         .withColumns({"whole": F.floor("r").cast("int"), "part": F.col("r") - F.floor("r")}).drop("r")
     )
     groups = max(1, -(-rows // leaf))
-    level = level.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
-    schema = f"id {kind}, source string, size long, source_size long, target double, whole int, part double, grp int"
+    level = level.withColumn("grp", F.pmod(F.xxhash64("id", "key"), F.lit(groups)).cast("int"))
+    schema = f"id {kind}, key long, source string, size long, source_size long, target double, whole int, part double, grp int"
     settled: DataFrame | None = None
     depth = 0
     while True:
         salt = seed + 7919 * depth
 
         def run(table: pa.Table) -> pa.Table:
-            ids = np.array([-1 if x is None else x for x in table.column("id").to_pylist()], np.int64)
+            keys = table.column("key").to_numpy()
             sizes = table.column("size").to_numpy()
-            draw = mix(ids.view(np.uint64) + U(salt + 1))
+            draw = mix(keys.view(np.uint64) + U(salt + 1))
             order = np.lexsort((draw, sizes))
-            part = np.empty(len(ids))
-            part[order] = settle(ids[order], sizes[order], table.column("part").to_numpy()[order], salt)
+            part = np.empty(len(keys))
+            part[order] = settle(keys[order], sizes[order], table.column("part").to_numpy()[order], salt)
             return table.set_column(table.schema.get_field_index("part"), "part", pa.array(part))
 
         # run is pickled when its job starts, within this round, so it sees this round's salt
         done = materialize(level.groupBy("source", "grp").applyInArrow(run, schema), f"mix-level{depth}")
         open_ = (F.col("part") > 0) & (F.col("part") < 1)
         if groups == 1:
-            last = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+            last = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
             rounded = F.when(open_ & F.lit(not cut_last), (last < F.col("part")).cast("double")).otherwise(F.col("part"))
             done = done.withColumn("part", rounded)
             settled = done if settled is None else settled.unionByName(done)
@@ -125,10 +126,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         closed = done.where(~open_)
         settled = closed if settled is None else settled.unionByName(closed)
         groups = -(-groups // FAN)
-        level = done.where(open_).withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+        level = done.where(open_).withColumn("grp", F.pmod(F.xxhash64("id", "key"), F.lit(groups)).cast("int"))
         depth += 1
     return settled.select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
+        F.col("id").alias(id_col), F.col("source").alias(source_col), F.col("key").alias("row_key"), "size", "source_size", "target",
         (F.col("whole") + F.floor("part")).cast("long").alias("copies"),
         (F.col("whole") * F.col("size") + F.round(F.col("part") * F.col("size"))).cast("long").alias("taken"),
     )
