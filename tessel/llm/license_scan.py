@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_batches, named
+from .common import BROADCAST_ROWS, bounded_batches, lean, named
 
 # fixed values: spellings that licence matching guidelines treat as the same word
 SPELLINGS = {
@@ -125,6 +125,7 @@ def scan(docs: DataFrame, known: Mapping[str, str] | DataFrame | None = None, id
         known = spark.createDataFrame(known_digests() if known is None else [(k, digest(v)) for k, v in known.items()], "license string, digest string")
     table = named(known, license="license", digest="digest").where("digest IS NOT NULL").groupBy("digest").agg(F.min("license").alias("license"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(t.as_py()) for t in batch.column(1)], pa.string())], names=["row_id", "digest"])

@@ -1,8 +1,9 @@
 """MPEG audio column: resynchronise frame headers, read tags and variable-bitrate tables, verify checksums.
 
 encode() stores a payload losslessly as an MPEG-1 Layer III stream of silent mono frames at 48 kHz, whose ancillary
-bytes hold 192 payload bytes each, behind an ID3v2 tag and a Xing table frame. parse() accepts any Layer III stream of
-one rate or many: it finds the frames, skips tags and junk, reads the table and checks every frame's CRC-16.
+bytes hold 192 payload bytes each, behind an ID3v2 tag and a Xing table frame. parse() accepts MPEG-1, 2 and 2.5 streams of Layers I, II
+and III, of one rate or many: it finds the frames, skips tags and junk, reads Xing, Info and VBRI tables with their seek points, and
+checks the CRC-16 of Layer III frames (in the other layers the checksum covers bits that depend on the allocation; there it is not checked).
 """
 
 from __future__ import annotations
@@ -12,19 +13,27 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import gcd
+from fractions import Fraction
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SLICE_BYTES, bounded_batches, named, slices, utf8
+from .common import SLICE_BYTES, bounded_batches, lean, named, slices, utf8
 
 UNIT = 192
-# fixed values: MPEG audio bit rates (kbit/s) and sampling rates (Hz) of Layer III headers
-_KBITS_V1 = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 0]
-_KBITS_V2 = [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160, 0]
+# fixed values: MPEG audio bit rates (kbit/s) by version 1 or 2 and the header's layer bits (3: Layer I, 2: II, 1: III), sampling rates (Hz) by version bits
+_KBITS = {
+    (1, 3): [0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448, 0],
+    (1, 2): [0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384, 0],
+    (1, 1): [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 0],
+    (2, 3): [0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256, 0],
+    (2, 2): [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160, 0],
+    (2, 1): [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160, 0],
+}
 _RATES = {3: [44100, 48000, 32000, 0], 2: [22050, 24000, 16000, 0], 0: [11025, 12000, 8000, 0], 1: [0, 0, 0, 0]}
+_ALL_LAYERS = (1, 2, 3)
 
 #: MPEG-1 Layer III with CRC, 80 kbit/s, 48 kHz, mono: 240 bytes a frame.
 _HEADER = bytes([0xFF, 0xFA, 0x64, 0xC0])
@@ -77,10 +86,11 @@ def encode(payload: bytes) -> bytes:
 
 @dataclass
 class Parsed:
+    """What parse() found. samples: by sampling rate. seek_points: the table's, as places in the stream."""
+
     offsets: np.ndarray
     sizes: np.ndarray
-    samples: int
-    rate: int
+    samples: dict[int, int]
     tag: str
     table_frames: int | None
     table_bytes: int | None
@@ -88,33 +98,70 @@ class Parsed:
     crc_bad: int
     skipped: int
     table_at: int | None
+    seek_points: list[int]
 
     @property
     def duration(self) -> tuple[int, int]:
         """Exact seconds as a reduced fraction."""
-        if not self.rate:
-            return 0, 1
-        g = gcd(self.samples, self.rate) or 1
-        return self.samples // g, self.rate // g
+        return sum((Fraction(n, rate) for rate, n in self.samples.items()), Fraction()).as_integer_ratio()
 
 
-def header(h: bytes) -> tuple[int, int, int, bool, int] | None:
-    """(frame bytes, samples, rate, has CRC, side bytes) of a Layer III header, or None."""
+def header(h: bytes, layers: tuple[int, ...] = (1,)) -> tuple[int, int, int, bool, int] | None:
+    """(frame bytes, samples, rate, has CRC, side bytes: 0 but for Layer III) of a header of the given layers (header bits, 1 is Layer III), or None."""
     if len(h) < 4 or h[0] != 0xFF or h[1] & 0xE0 != 0xE0:
         return None
     version, layer = (h[1] >> 3) & 3, (h[1] >> 1) & 3
     rate = _RATES[version][(h[2] >> 2) & 3]
-    kbits = (_KBITS_V1 if version == 3 else _KBITS_V2)[h[2] >> 4]
-    if layer != 1 or not rate or not kbits:
+    if layer not in layers or not rate:
+        return None
+    first = version == 3
+    kbits = _KBITS[1 if first else 2, layer][h[2] >> 4]
+    if not kbits:
         return None
-    mono = h[3] >> 6 == 3
-    samples = 1152 if version == 3 else 576
-    side = (17 if mono else 32) if version == 3 else (9 if mono else 17)
-    return samples // 8 * kbits * 1000 // rate + ((h[2] >> 1) & 1), samples, rate, not h[1] & 1, side
+    pad, mono = (h[2] >> 1) & 1, h[3] >> 6 == 3
+    if layer == 3:
+        return (12 * kbits * 1000 // rate + pad) * 4, 384, rate, not h[1] & 1, 0
+    samples = 1152 if first or layer == 2 else 576
+    side = 0 if layer == 2 else (17 if mono else 32) if first else (9 if mono else 17)
+    return samples // 8 * kbits * 1000 // rate + pad, samples, rate, not h[1] & 1, side
+
+
+def _confirmed(stream: bytes, at: int, end: int) -> bool:
+    """A frame at this place that ends the stream or has another one of its version, layer and rate behind it."""
+    found = header(stream[at : at + 4], _ALL_LAYERS)
+    if found is None or (after := at + found[0]) > end:
+        return False
+    following = header(stream[after : after + 4], _ALL_LAYERS) if after + 4 <= end else None
+    return after + 4 > end or following is not None and following[2] == found[2] and not (stream[after + 1] ^ stream[at + 1]) & 0x1E
+
+
+def _tables(stream: bytes, at: int, side: int, has_crc: bool) -> tuple[int | None, int | None, list[int]] | None:
+    """(frames, bytes, seek points) of the variable-bitrate table in the frame at this place, or None."""
+    p = at + 4 + 2 * has_crc + side
+    if side and stream[p : p + 4] in (b"Xing", b"Info"):
+        (flags,) = struct.unpack(">I", stream[p + 4 : p + 8])
+        p += 8
+        counts: list[int | None] = [None, None]
+        for k in (0, 1):
+            if flags >> k & 1:
+                (counts[k],) = struct.unpack(">I", stream[p : p + 4])
+                p += 4
+        points = [at + x * counts[1] // 256 for x in stream[p : p + 100]] if flags & 4 and counts[1] else []
+        return counts[0], counts[1], points
+    p = at + 36
+    if stream[p : p + 4] == b"VBRI":
+        size, frames, entries, scale, width, _ = struct.unpack(">IIHHHH", stream[p + 10 : p + 26])
+        steps = [int.from_bytes(stream[p + 26 + width * k : p + 26 + width * (k + 1)], "big") * scale for k in range(entries)]
+        return frames, size, [at + x for x in accumulate(steps, initial=0)]
+    return None
 
 
 def parse(stream: bytes) -> Parsed:
-    """Find every frame. A header counts if the frame ends the stream or another header, or a tag, follows it."""
+    """Find every frame.
+
+    After a gap, and at the start, a header counts if its frame ends the stream or a header of the same kind follows it. Behind a frame
+    a header counts even without one, unless a frame that is confirmed in this way begins inside it: then the header is junk, or its frame lost bytes.
+    """
     n, at, skipped, tag = len(stream), 0, 0, ""
     while stream[at : at + 3] == b"ID3" and at + 10 <= n:
         s = stream[at + 6 : at + 10]
@@ -124,46 +171,50 @@ def parse(stream: bytes) -> Parsed:
     if n - at >= 128 and stream[n - 128 : n - 125] == b"TAG":
         end, tag = n - 128, (tag + "+" if tag else "") + "id3v1"
     data = np.frombuffer(stream, np.uint8)
-    offsets, sizes, samples, rate, bad, checked = [], [], 0, 0, 0, 0
-    table_frames = table_bytes = table_at = None
-    first = True
+    offsets, sizes, samples, bad, checked = [], [], {}, 0, 0
+    table: tuple[int | None, int | None, list[int]] | None = None
+    table_at = None
+    synced = False
+
+    def inside(a: int, b: int) -> bool:
+        """Whether a confirmed frame begins after a and before b."""
+        while (a := stream.find(b"\xff", a + 1, b)) >= 0:
+            if _confirmed(stream, a, end):
+                return True
+        return False
+
     while at + 4 <= end:
-        found = header(stream[at : at + 4])
-        if found is None or at + found[0] > end or (at + found[0] + 4 <= end and header(stream[at + found[0] : at + found[0] + 4]) is None and first):
+        found = header(stream[at : at + 4], _ALL_LAYERS)
+        run = 0
+        if found and at + found[0] <= end and (synced or _confirmed(stream, at, end)):
+            # a run of frames with the same header is taken at once; each but the last has a header behind it
+            size, per, hz, has_crc, side = found
+            grid = data[at : at + (end - at) // size * size].reshape(-1, size)
+            same = (grid[:, :4] == grid[0, :4]).all(1)
+            run = int(len(same) if same.all() else np.argmin(same))
+            last = at + (run - 1) * size
+            if not _confirmed(stream, last, end) and header(stream[last + size : last + size + 4], _ALL_LAYERS) is None and inside(last, last + size):
+                run -= 1
+        if not run:
             nxt = stream.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
             skipped += nxt - at
-            at = nxt
+            at, synced = nxt, False
             continue
-        size, per, hz, has_crc, side = found
-        # a run of frames with the same header is taken at once
-        run = 1
-        room = (end - at) // size
-        if room > 1:
-            grid = data[at : at + room * size].reshape(room, size)
-            same = (grid[:, :4] == grid[0, :4]).all(1)
-            run = int(room if same.all() else np.argmin(same))
-        grid = data[at : at + run * size].reshape(run, size)
-        if has_crc and size >= 6 + side:
+        grid = grid[:run]
+        if has_crc and side and size >= 6 + side:
             wrong = crc16(np.concatenate([grid[:, 2:4], grid[:, 6 : 6 + side]], 1)) != (grid[:, 4].astype(np.uint16) << np.uint16(8) | grid[:, 5])
             bad, checked = bad + int(wrong.sum()), checked + run
-        body = 4 + 2 * has_crc + side
         offs = at + size * np.arange(run, dtype=np.int64)
-        if first and stream[at + body : at + body + 4] in (b"Xing", b"Info"):
-            flags = struct.unpack(">I", stream[at + body + 4 : at + body + 8])[0]
-            p = at + body + 8
-            if flags & 1:
-                table_frames, p = struct.unpack(">I", stream[p : p + 4])[0], p + 4
-            if flags & 2:
-                table_bytes, p = struct.unpack(">I", stream[p : p + 4])[0], p + 4
+        if not offsets and (table := _tables(stream, at, side, has_crc)):
             table_at, offs = at, offs[1:]
-        first = False
         offsets.append(offs)
         sizes.append(np.full(len(offs), size))
-        samples, rate = samples + per * len(offs), rate or hz
-        at += run * size
+        samples[hz] = samples.get(hz, 0) + per * len(offs)
+        at, synced = at + run * size, True
     join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    return Parsed(join(offsets), join(sizes), samples, rate, tag, table_frames, table_bytes, checked, bad, skipped + max(0, end - at), table_at)
+    frames, size, points = table or (None, None, [])
+    return Parsed(join(offsets), join(sizes), samples, tag, frames, size, checked, bad, skipped + max(0, end - at), table_at, points)
 
 
 def payload_of(stream: bytes, parsed: Parsed) -> bytes:
@@ -183,7 +234,7 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
 
     The text's UTF-8 bytes (null: none) are padded with spaces to a positive multiple of 192. With keep_media the stored bytes
     and the seek offset of each frame are columns too (media binary, seek_offsets array<long>), else only the offsets' CRC is.
-    Equal texts give equal values, so repeated rows do; an empty text is one frame of spaces.
+    Equal texts give equal values, so repeated rows do; an empty text is one frame of spaces, a very long one as many frames as it takes.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -192,6 +243,7 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     more = ", seek_crc32 long" + (", media binary, seek_offsets array<long>" if keep_media else "")
     names = [x.split()[0] for x in (SCHEMA.format(id=kind, more=more)).split(", ")]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
         for batch in batches:

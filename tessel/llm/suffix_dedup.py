@@ -23,7 +23,7 @@ a sorted partition. Two windows, or two strings of hot anchors, count as equal i
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -53,6 +53,8 @@ _PLACE = 20
 _SIZE = 16
 _COVERED, _ASKED, _HOT = range(3)
 
+Batches = Iterator[pa.RecordBatch]
+
 
 def _slide(a: np.ndarray, width: int, f) -> np.ndarray:
     """f over every run of width values."""
@@ -248,8 +250,8 @@ def repeated_starts(windows: list[bytes], firsts: np.ndarray, width: int = WIDTH
     return owner[later], place[later]
 
 
-def mark(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """docs (row_id long, text, and any rest column) with spans: sorted disjoint pairs of int64 as bytes, null if there are none.
+def mark(docs: DataFrame, then: Callable[[Batches], Batches], schema: str, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """What then makes of docs (row_id long, text, and any rest column) with spans behind text: sorted disjoint pairs of int64 as bytes, null if there are none.
 
     Rows that repeat a row_id must have the same text.
     """
@@ -269,7 +271,7 @@ def mark(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT)
             yield pa.RecordBatch.from_arrays([pa.array(who[own[:-1]]), pa.array([rows[a:b].tobytes() for a, b in pairwise(own)], pa.binary())], names=["row_id", name])
 
     @lean
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Batches) -> Batches:
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
@@ -298,7 +300,7 @@ def mark(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT)
             yield flush()
 
     @lean
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Batches) -> Batches:
         """Rows (row_id, entries): of each entry its anchor and, four times its place, what is to be done with it."""
         held, size = [], 0
         for rows in by_first(batches):
@@ -337,7 +339,7 @@ def mark(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT)
         return e[:, 0], place >> _SIZE, place & ((1 << _SIZE) - 1), e[:, 1] & 3
 
     @lean
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Batches) -> Batches:
         """The windows asked for, in blobs by bucket: of each its anchor, document, start, and twice its size (plus 1: hot), and their bytes."""
         heads, texts, held = [], [], 0
 
@@ -390,7 +392,7 @@ def mark(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT)
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "row_id", "spans", "strings"])
 
     @lean
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def index(batches: Batches) -> Batches:
         marks: list[np.ndarray] = []
         strings: list[np.ndarray] = []
         for rows in by_first(batches):
@@ -445,7 +447,7 @@ def mark(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT)
         return np.stack([one.of(begin, begin + width), two.of(begin, begin + width), doc[who].view(np.uint64), (left[who] + at).view(np.uint64)])
 
     @lean
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def settle(batches: Batches) -> Batches:
         """Rows (row_id, spans): those that come, and those of strings of hot anchors that are not the first of their kind."""
         marks, size = [], 0
         for rows in by_first(batches):
@@ -475,8 +477,7 @@ def mark(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT)
     marked = results.mapInArrow(settle, "row_id long, spans binary").groupBy("row_id").agg(F.collect_list("spans").alias("spans"))
     joined = docs.join(asked, "row_id", "left").join(marked, "row_id", "left").select("row_id", "text", "entries", "spans", *rest)
 
-    @lean
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(batches: Batches) -> Batches:
         for batch in batches:
             out = []
             for blobs, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
@@ -495,8 +496,7 @@ def mark(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT)
                 out.append(np.column_stack([p[heads, 0], top[tails]]).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), *batch.columns[4:]], names=["row_id", "text", "spans", *rest])
 
-    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in rest)
-    return joined.mapInArrow(merge, "row_id long, text string, spans binary" + kinds)
+    return joined.mapInArrow(lean(lambda batches: then(merge(batches))), schema)
 
 
 def kept_bytes(raw: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
@@ -521,14 +521,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(others)]).alias("rest")
     base = docs.select(docs[id_col].cast("long").alias("row_id"), docs[text_col].alias("text"), rest)
 
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Batches) -> Batches:
         for batch in batches:
-            texts = [None if t.as_buffer() is None else kept_bytes(bytes(t.as_buffer()), s)[0].decode(errors="ignore") for t, s in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(3)], names=["text", "rest"])
+            texts = [None if t.as_buffer() is None else kept_bytes(bytes(t.as_buffer()), s)[0].decode(errors="ignore") for t, s in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column("rest")], names=["text", "rest"])
 
-    marked = _with_null_ids(base, width, hot).select("row_id", "text", "spans", "rest")
-    out = marked.mapInArrow(run, f"text string, rest {base.schema['rest'].dataType.simpleString()}")
+    out = _with_null_ids(base, cut, f"text string, rest {base.schema['rest'].dataType.simpleString()}", width, hot)
     back = {c: F.col(f"rest.c{k}") for k, c in enumerate(others)} | {text_col: F.col("text")}
     return out.select(*[back[c].alias(c) for c in docs.columns])
 
@@ -540,15 +538,15 @@ def _with_keys(known: DataFrame) -> DataFrame:
     return small_join(known, materialize(keys, "suffix-keys"), ["own_id", "sha"], "inner").drop("sha")
 
 
-def _with_null_ids(base: DataFrame, width: int, hot: int) -> DataFrame:
-    """mark() for the rows with an id; those without keep all."""
+def _with_null_ids(base: DataFrame, then: Callable[[Batches], Batches], schema: str, width: int, hot: int) -> DataFrame:
+    """mark() for the rows with an id; those without keep all. Rows that repeat an id get keys of their own, their id is in own_id."""
     gram = max(4, min(GRAM, width // 4))
     known = base.where("row_id IS NOT NULL")
-    if known.groupBy("row_id").count().where("count > 1").isEmpty():
-        marked = mark(known, width, gram, hot)
-    else:
-        marked = mark(_with_keys(known), width, gram, hot).drop("row_id").withColumnRenamed("own_id", "row_id").select("row_id", "text", "spans", *[c for c in base.columns if c not in ("row_id", "text")])
-    return marked.unionByName(base.where("row_id IS NULL").withColumn("spans", F.lit(None).cast("binary")))
+    if not known.groupBy("row_id").count().where("count > 1").isEmpty():
+        known = _with_keys(known)
+    others = [F.col(c) for c in base.columns if c not in ("row_id", "text")]
+    without = base.where("row_id IS NULL").select("row_id", "text", F.lit(None).cast("binary").alias("spans"), *others)
+    return mark(known, then, schema, width, gram, hot).unionByName(without.mapInArrow(lean(then), schema))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, hot: int = HOT) -> DataFrame:
@@ -559,20 +557,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     their own, in the order of the texts' SHA-256.
     """
     base = named(docs, row_id=id_col, text=text_col).select(F.col("row_id").cast("long").alias("row_id"), "text")
-    marked = _with_null_ids(base, width, hot)
 
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digest(batches: Batches) -> Batches:
         for batch in batches:
             n, removed, spans, sha = [], [], [], []
-            for text, s in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for text, s in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
                 raw = bytes(text.as_buffer()) if text.as_buffer() else b""
                 rest, r, k = kept_bytes(raw, s)
                 n.append(len(raw))
                 removed.append(r)
                 spans.append(k)
                 sha.append(hashlib.sha256(rest).hexdigest())
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=["row_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            key = batch.column("own_id" if "own_id" in batch.schema.names else "row_id")
+            yield pa.RecordBatch.from_arrays([key, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["row_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return marked.select("row_id", "text", "spans").mapInArrow(run, "row_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("row_id", id_col)
+    return _with_null_ids(base, digest, "row_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", width, hot).withColumnRenamed("row_id", id_col)

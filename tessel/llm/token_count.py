@@ -3,10 +3,12 @@
 A vocabulary of byte strings becomes a trie. Each node has a failure link (the node reached after emitting the longest
 vocabulary entries that cover its string and continuing with what is left) and the number of pieces popped on the way, both
 computed once. Counting the pieces of a word is then one pass over its bytes: follow an edge, or fail, add the popped count
-and try again. No piece is built, and every byte costs amortised constant time.
+and try again. No piece is built, and every byte costs amortised constant time. Long words are run in parts side by side: each part
+first from the root, then again from where the part before it really ends, until both runs are at the same node, from where on they agree.
 
 Words are runs of bytes other than white space; they are cut greedily, longest entry first, from the left. Single
-bytes are always entries, so every word can be cut.
+bytes are always entries, so every word can be cut. Of a byte-level vocabulary the entries with white space in them take no part, also those that
+begin with the blank before a word: counts are those of greedy cutting of bare words and not of the vocabulary's own tokenizer.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, named, slices, utf8, word_bounds
+from .common import bounded_batches, lean, named, slices, utf8, word_bounds
 
 
 def byte_vocabulary(path: str) -> list[bytes]:
@@ -78,37 +80,71 @@ class LongestMatch:
         at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
         return np.where(self.keys[at] == want, self.targets[at], -1)
 
-    def counts(self, words: list[bytes]) -> np.ndarray:
-        """Pieces of each word: all words move on by one byte at a time, longest words last."""
-        sizes = np.array([len(w) for w in words], np.int64)
-        order = np.argsort(-sizes, kind="stable")
-        out = np.zeros(len(words), np.int64)
+    def _advance(self, node: np.ndarray, total: np.ndarray, todo: np.ndarray, bytes_: np.ndarray) -> None:
+        """Move node[todo] on by a byte each, adding popped pieces to total."""
+        b = bytes_
+        while len(todo):
+            nxt = self.step(node[todo], b)
+            hit = nxt >= 0
+            node[todo[hit]] = nxt[hit]
+            todo, b = todo[~hit], b[~hit]
+            total[todo] += self.pops[node[todo]]
+            node[todo] = self.fail[node[todo]]
+
+    def counts(self, words: list[bytes], part: int = 256) -> np.ndarray:
+        """Pieces of each word: all parts of all words move on by one byte at a time."""
+        lengths = np.array([len(w) for w in words], np.int64)
         data = np.frombuffer(b"".join(words), np.uint8)
-        begin = np.concatenate([[0], np.cumsum(sizes)])[:-1][order]
-        sizes = sizes[order]
-        node = np.zeros(len(words), np.int32)
-        total = np.zeros(len(words), np.int64)
-        live = len(words)
-        for k in range(int(sizes[0]) if len(words) else 0):
-            live = int(np.searchsorted(-sizes, -k, "left"))  # words longer than k
-            b = data[begin[:live] + k]
-            todo = np.arange(live)
-            while len(todo):
-                nxt = self.step(node[todo], b[todo])
-                miss = nxt < 0
-                node[todo[~miss]] = nxt[~miss]
-                todo = todo[miss]
-                total[todo] += self.pops[node[todo]]
-                node[todo] = self.fail[node[todo]]
-        while (rest := np.flatnonzero(node > 0)).size:  # what is left at the words' ends
+        parts = -(-lengths // part)
+        word = np.repeat(np.arange(len(words)), parts)
+        nth = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = (np.cumsum(lengths) - lengths)[word] + nth * part
+        sizes = np.minimum(part, lengths[word] - nth * part)
+        node, total = np.zeros(len(word), np.int32), np.zeros(len(word), np.int64)
+        later = np.flatnonzero(nth)  # parts that follow another one: their runs are kept
+        nodes, totals = np.zeros((part if len(later) else 0, len(later)), np.int32), np.zeros((part if len(later) else 0, len(later)), np.int32)
+        order = np.argsort(-sizes, kind="stable")
+        falling = -sizes[order]
+        for k in range(int(sizes.max(initial=0))):
+            live = order[: np.searchsorted(falling, -k, "left")]  # parts longer than k
+            self._advance(node, total, live, data[begin[live] + k])
+            if len(later):
+                nodes[k], totals[k] = node[later], total[later]
+        if len(later):
+            self._again(data, begin, sizes, later, node, total, nodes, totals)
+        ends = np.cumsum(parts)[parts > 0] - 1
+        while (rest := ends[node[ends] > 0]).size:  # what is left at the words' ends
             total[rest] += self.pops[node[rest]]
             node[rest] = self.fail[node[rest]]
-        out[order] = total
-        return out
+        return np.bincount(word, total, len(words)).astype(np.int64)
+
+    def _again(self, data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, later: np.ndarray, node: np.ndarray, total: np.ndarray, nodes: np.ndarray, totals: np.ndarray) -> None:
+        """Run the later parts from the nodes at which the parts before them end, and put their nodes and totals right."""
+        own_total = total[later].copy()
+        begun = np.zeros(len(later), np.int32)  # from the root at first
+        while (k_of := np.flatnonzero(node[later - 1] != begun)).size:
+            begun[k_of] = node[later[k_of] - 1]
+            now, popped = begun.copy(), np.zeros(len(later), np.int64)
+            live = k_of
+            for k in range(int(sizes[later[k_of]].max())):
+                over = sizes[later[live]] <= k  # at its end without having met the first run
+                stop = live[over]
+                node[later[stop]], total[later[stop]] = now[stop], popped[stop]
+                live = live[~over]
+                if not len(live):
+                    break
+                self._advance(now, popped, live, data[begin[later[live]] + k])
+                met = now[live] == nodes[k, live]
+                stop = live[met]
+                size = sizes[later[stop]]
+                node[later[stop]] = nodes[size - 1, stop]
+                total[later[stop]] = own_total[stop] + popped[stop] - totals[k, stop]
+                live = live[~met]
+            node[later[live]], total[later[live]] = now[live], popped[live]
 
 
 def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """n_words, n_tokens and n_bytes of every whole text; null and empty texts have 0 of each, repeated rows stay.
+    """n_words, n_tokens and n_bytes of every whole text; null and empty texts have 0 of each, repeated rows stay; very long texts and words are counted whole.
 
     The file is read on the driver; the automaton goes to the workers with the function (a few MB, fixed by the vocabulary).
     Each batch looks up only its distinct words, and a worker remembers the counts of short words between batches.
@@ -119,12 +155,13 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     kind = docs.schema["row_id"].dataType.simpleString()
     automaton = spark.sparkContext.broadcast(LongestMatch(byte_vocabulary(vocabulary_path)))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         machine = automaton.value
         for batch in batches:
             data, offs = utf8(batch.column(1))
-            for i, j in slices(offs):
+            for i, j in slices(offs, 1 << 20):
                 part, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 starts, stops, per_doc = word_bounds(part, o)
                 counts = np.zeros(len(starts) + 1, np.int64)
@@ -135,7 +172,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
                     found = dict(zip(new, machine.counts(new).tolist(), strict=True))
                     each = np.array([known[w] if w in known else found[w] for w in distinct], np.int64)
                     np.cumsum(each[words.indices.to_numpy()], out=counts[1:])
-                    if len(known) < 300_000:
+                    if len(known) < 200_000:
                         known.update((w, c) for w, c in found.items() if len(w) <= 16)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(np.diff(per_doc)), pa.array(np.diff(counts[per_doc])), pa.array(np.diff(o))], names=["row_id", "n_words", "n_tokens", "n_bytes"]
