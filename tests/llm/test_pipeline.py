@@ -9,7 +9,7 @@ from test_text import labelled
 
 import __spark_entry__ as entry
 import corpus_pipeline as P
-from tessel.llm import queries, toxicity
+from tessel.llm import mixing, queries, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -93,3 +93,26 @@ def test_queries_have_their_columns(spark, tables):
     for name, columns in need.items():
         df = queries.QUERIES[name](spark, tables)
         assert columns.items() <= dict(df.dtypes).items(), name
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Empty tables, null ids, repeated rows and repeated ids with other texts pass all stages; draws of repeated rows are dealt among them."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, c0 int"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(7, "a b c", "a"), (7, "a b c", "a"), (7, "d e", "a"), (None, "f g h i j k", "b"), (None, "f g h i j k", "b"), (None, None, None), (8, "", "c"), (9, "l " * 400, "c")]
+    for k, data in enumerate(([], [(i, t, "en", s, None if t is None else len(t), 1) for i, t, s in rows])):
+        path = f"{tmp_path}/{k}"
+        spark.createDataFrame(data, schema).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        for name, stage in P.STAGES:
+            out = stage(spark, docs, path)
+            if name == "mixing":
+                mix = {(r["doc_id"], r["row_key"]): 0 for r in mixing.mix_sources(docs, cut_last=False).collect()}
+                for r in mixing.mix_sources(docs, cut_last=False).collect():
+                    mix[r["doc_id"], r["row_key"]] += r["copies"]
+                assert out.count() == sum(mix.values())
+            if name != "packing":
+                assert out.columns == docs.columns
+                assert name in ("mixing", "near_dup") or out.count() == docs.count()
+        assert P.run(spark, path).count() >= len(data) // 8

@@ -131,8 +131,8 @@ def test_topk_agrees_with_brute_force(spark):
     centres = rng.normal(size=(8, 16)) * 3
     x = np.round((centres[rng.integers(0, 8, 900)] + rng.normal(size=(900, 16))) * 4) / 4
     x[100:140] = x[100]
-    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(5000, None), (5001, [1.0] * 15 + [None]), (5002, [1.0] * 15 + [float("nan")]), (5020, [float("inf")] * 16), (5040, [1.0] * 3), (None, [1.0] * 16)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(5000, None), (5001, [1.0] * 15 + [None]), (5002, [1.0] * 15 + [float("nan")]), (5020, [float("inf")] * 16), (None, [1.0] * 16)]
+    table = spark.createDataFrame([(*r, 1.0, -1, 9) for r in rows], "vec_id long, embedding array<float>, v double, shard int, block long").repartition(6)
     vectors = topk.quantised(table, "vec_id", "embedding")
     assert vectors.count() == 900
     q = np.floor(64 * x.astype(np.float32).astype(np.float64))
@@ -146,11 +146,56 @@ def test_topk_agrees_with_brute_force(spark):
         assert found == [(int(j), int(s[j])) for j in sorted((j for j in range(900) if j != i), key=lambda j: (-s[j], j))[:20]]
 
 
+def test_search_prunes_and_shares_floors():
+    """Trees of many nodes: best-first order, exact results, fewer nodes where clusters part and where the kth score is known."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 12)) * 200
+    x = np.round(centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 12)) * 4)
+    ids = rng.permutation(6000)
+    tree = topk.ball_tree(x)
+    assert len(tree[1]) > 60
+    full = x @ x[:30].T
+    full[np.arange(30), np.arange(30)] = -np.inf
+    want = [sorted(range(6000), key=lambda j, q=q: (-full[j, q], ids[j]))[:10] for q in range(30)]
+    for floor in (np.full(30, -np.inf), np.array([full[w[-1], q] for q, w in enumerate(want)])):
+        opened: list[int] = []
+        q, i, s = topk.search(ids, x, ids[:30], x[:30], floor, 10, tree, opened)
+        assert [sorted(zip(-s[q == n], i[q == n], strict=True)) for n in range(30)] == [[(-full[j, n], ids[j]) for j in w] for n, w in enumerate(want)]
+        assert len(opened) < len(tree[1])
+    single: list[int] = []
+    topk.search(ids, x, ids[:1], x[:1], floor[:1], 10, tree, single)
+    _, nodes, c, r = tree
+    bound = (x[:1] @ c.T + np.sqrt((x[:1] ** 2).sum(1))[:, None] * r)[0]
+    for n, (_, _, left, right) in enumerate(nodes):
+        if left >= 0:
+            bound[[left, right]] = np.minimum(bound[[left, right]], bound[n])
+    assert len(single) < 0.6 * len(nodes)
+    assert all(bound[a] >= bound[b] - 1e-6 for a, b in zip(single, single[1:], strict=False))
+
+
+def test_topk_over_waves_of_shards(spark):
+    """Many shards of several leaves each, null components elsewhere and one id repeated."""
+    rng = np.random.default_rng(10)
+    x = np.round(rng.normal(size=(3000, 6)) * 30)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(2999, x[0].tolist())]
+    v = spark.createDataFrame(rows, "id long, v array<double>").repartition(4)
+    got = topk.top_k(v, v.where("id % 50 = 0"), 7, shard_rows=280, block_queries=25).collect()
+    by = defaultdict(list)
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert set(by) == set(range(0, 3000, 50))
+    for i, found in by.items():
+        s = [(j, int(np.dot(w, x[i]))) for j, w in rows if j != i]
+        assert found == sorted(s, key=lambda e: (-e[1], e[0]))[:7]
+
+
 def test_topk_small_tables(spark):
     v = spark.createDataFrame([(0, [1.0, 2.0]), (20, [1.0, 1.0]), (3, [0.0, 0.0])], "id long, v array<double>")
     got = sorted(map(tuple, topk.top_k(v, v.where("id % 20 = 0"), 20).collect()))
     assert got == [(0, 1, 20, 3), (0, 2, 3, 0), (20, 1, 0, 3), (20, 2, 3, 0)]
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0 and topk.top_k(v, v.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        topk.quantised(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<float>"), "vec_id", "embedding")
     assert topk.quantised(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding").count() == 0
 
 

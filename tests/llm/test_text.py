@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
+from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
@@ -31,6 +33,18 @@ def test_automaton_agrees_with_greedy_cutting():
     assert got.tolist() == [greedy(w, vocabulary, 7) for w in words]
 
 
+def test_long_words_are_counted_in_parts():
+    """Parts give the whole word's count, also where runs never meet: (ab)* and (ba)* cut the same text at other places."""
+    rng = random.Random(1)
+    vocabulary = {b"ab", b"ba", b"abab", b"cc", b"ccc", b"abcabc", b"bca"}
+    words = [b"ab" * 700, b"a" + b"ba" * 501, b"c" * 1001, b"abc" * 333, b"", b"x"] + [bytes(rng.choice(b"abc") for _ in range(rng.randrange(0, 900))) for _ in range(40)]
+    machine = token_count.LongestMatch(vocabulary)
+    want = [greedy(w, vocabulary, 7) for w in words]
+    for part in (1, 2, 7, 64, 255, 10_000):
+        assert machine.counts(words, part).tolist() == want, part
+    assert machine.counts([]).tolist() == []
+
+
 def test_token_counts(docs, corpus, no_docs):
     path = queries.tokenizer_path("byte_bpe_50k.json")
     vocabulary = set(token_count.byte_vocabulary(path))
@@ -150,6 +164,42 @@ def test_parse_damaged_streams():
         mpeg_audio.encode(b"")
 
 
+def test_parse_resynchronises_after_every_gap():
+    good = mpeg_audio.encode(bytes(k % 200 for k in range(192 * 6)))
+    p = mpeg_audio.parse(good)
+    lone = good[p.offsets[0] : p.offsets[0] + 4]
+    for junk in (b"junk bytes" + lone + b"more junk here.", lone + b"junk behind a lone header", b"\xff" * 9 + lone + b"x" * 16):
+        for k in (1, 3, 5):
+            q = mpeg_audio.parse(good[: p.offsets[k]] + junk + good[p.offsets[k] :])
+            assert (len(q.offsets), q.skipped, q.crc_bad, q.duration) == (6, len(junk), 0, p.duration)
+            assert mpeg_audio.payload_of(good[: p.offsets[k]] + junk + good[p.offsets[k] :], q) == mpeg_audio.payload_of(good, p)
+    # a frame that lost bytes goes, those behind it stay
+    q = mpeg_audio.parse(good[: p.offsets[2] + 100] + good[p.offsets[3] :])
+    assert len(q.offsets) == 5 and q.skipped == 100
+
+
+def frames_of(h: bytes, n: int) -> bytes:
+    size = mpeg_audio.header(h, (1, 2, 3))[0]
+    return (h + bytes(size - 4)) * n
+
+
+def test_parse_layers_rates_and_tables():
+    one, two, three = b"\xff\xff\x90\xc0", b"\xff\xfd\x90\xc0", b"\xff\xfb\x94\xc0"
+    assert mpeg_audio.header(one, (1, 2, 3)) == (312, 384, 44100, False, 0) and mpeg_audio.header(two, (1, 2, 3)) == (522, 1152, 44100, False, 0)
+    for h, per, rate in ((one, 384, 44100), (two, 1152, 44100), (three, 1152, 48000), (b"\xff\xf5\x80\xc0", 1152, 22050), (b"\xff\xe3\x80\xc0", 576, 11025)):
+        q = mpeg_audio.parse(frames_of(h, 7))
+        assert len(q.offsets) == 7 and q.samples == {rate: 7 * per} and q.skipped == 0 and q.crc_checked == 0
+    q = mpeg_audio.parse(frames_of(b"\xff\xfb\x90\xc0", 3) + frames_of(three, 5))
+    assert q.duration == (Fraction(3 * 1152, 44100) + Fraction(5 * 1152, 48000)).as_integer_ratio()
+    table = bytearray(frames_of(three, 1))
+    table[36 : 36 + 26] = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 0, 9000, 10, 3, 2, 2, 4)
+    table[62:68] = struct.pack(">HHH", 100, 200, 300)
+    q = mpeg_audio.parse(bytes(table) + frames_of(three, 10))
+    assert (q.table_frames, q.table_bytes, q.table_at, len(q.offsets)) == (10, 9000, 0, 10) and q.seek_points == [0, 200, 600, 1200]
+    p = mpeg_audio.parse(mpeg_audio.encode(bytes(192 * 50)))
+    assert len(p.seek_points) == 100 and p.seek_points[0] == p.table_at and p.seek_points == sorted(p.seek_points) and p.seek_points[-1] < p.offsets[-1] + 240
+
+
 def test_headers():
     assert mpeg_audio.header(b"\xff\xfb\x90\x00") == (417, 1152, 44100, False, 32)
     assert mpeg_audio.header(b"\xff\xfb\x92\x00")[0] == 418
@@ -236,6 +286,71 @@ def test_grammar_composition():
     assert g.score(None, a) == g.score("fine", a) < g.score("idiot", a) < g.score("you idiot, kill", a)
 
 
+def naive(g, text):
+    """The grammar's clause costs again, by rules on lists of words instead of tables."""
+    costs = []
+    for clause in re.split(r"[.!?;\n]", text.lower()):
+        words = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", clause)
+        kinds, cost, hits = set(), 0.0, 0
+        somebody = any(w in toxicity.TARGETS and not lookup(g, w)[0] for w in words)
+        for k, w in enumerate(words):
+            kind, weight = lookup(g, w)
+            if not kind:
+                continue
+            negated = any(v in toxicity.NEGATIONS and not lookup(g, v)[0] for v in words[max(0, k - 3) : k])
+            reported = any(v in toxicity.REPORTS and v not in toxicity.NEGATIONS | toxicity.TARGETS and not lookup(g, v)[0] for v in words[max(0, k - 6) : k])
+            cost += weight * g.weights[toxicity.ARCS.index((kind, int(negated), int(reported), int(somebody)))]
+            kinds.add(kind)
+            hits += 1
+        if hits:
+            costs.append(cost + (g.weights[toxicity.BOTH] if len(kinds) == 2 else 0.0))
+    return costs
+
+
+def lookup(g, word):
+    best = (None, 0.0)
+    for kind, table in (("insult", g.insults), ("threat", g.threats)):
+        for stem, (weight, whole) in table.items():
+            if (word == stem if whole else word.startswith(stem)) and weight > best[1]:
+                best = (kind, weight)
+    return best
+
+
+def test_composed_machine_agrees_with_rules():
+    rng = random.Random(11)
+    g = toxicity.Grammar(toxicity._seed(["idiot*", "clown", "foo*"], 2.0) | toxicity._seed(["id*"], 0.3), toxicity._seed(["kill*", "burn"], 1.1))
+    g.weights = [round(rng.random() * 2, 3) for _ in g.weights]
+    a = g.automaton()
+    words = "idiot idiots clown clowns foolish kill killing burn burned you they not never said wrote the and don't isn't a . ; ! \n".split(" ")
+    for _ in range(1500):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(0, 30)))
+        assert g.clauses(text, a) == pytest.approx(naive(g, text)), text
+    c = toxicity.compose()
+    assert len(c.next) == len(c.arcs) == len(c.ends) > 100 and all(0 <= n < len(c.next) for row in c.next for n in row)
+
+
+def test_arc_weights_follow_the_labels(spark):
+    """Negated insults that are clean in the labels end up cheaper than plain ones, and a verb aimed at people becomes a threat."""
+    rng = random.Random(4)
+    plain = "the of and to in is for with on as are be at by this or from an it that was".split()
+    rows, labels = [], []
+    for i in range(3000):
+        w = [rng.choice(plain) for _ in range(rng.randrange(10, 60))]
+        kind = i % 6
+        if kind == 0:
+            w[5:5] = ["idiot"]
+        if kind == 1:
+            w[5:5] = ["not", "an", "idiot"]
+        if kind == 2:
+            w[5:5] = ["grolk", "you"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(kind in (0, 2))))
+    g = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    weight = dict(zip(toxicity.ARCS, g.weights, strict=False))
+    assert weight["insult", 1, 0, 0] < 0.25 < 0.8 < weight["insult", 0, 0, 0]
+    assert any("grolk".startswith(s) for s in g.threats) and not any("grolk".startswith(s) for s in g.insults)
+
+
 def test_toxicity_odd_tables(spark, docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     g = toxicity.fit(docs, none)
