@@ -9,6 +9,7 @@ build numpy blocks, inside applyInArrow.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
@@ -24,7 +25,7 @@ from ..plans.fanout import best_bins
 from ..plans.rechunking import rechunk_plan
 from ..sources.template import Template, Variable, numpy_type, spark_type
 from . import means
-from .block import Block
+from .block import Block, validate_block
 
 Dims = tuple[str, ...]
 
@@ -67,7 +68,8 @@ def cells_of(block: Block, offsets: Mapping[str, int], dims: Dims, names: Sequen
 class Cube:
     """tables: cells by dimension tuple; template; chunk size of each dimension; split_vars: a chunk holds one variable.
 
-    untouched: nothing but selections was done to a source; load: reads the source again within bounds, without the chunks outside.
+    untouched: nothing but selections was done to a source. load: a store that can be read again with fewer variables, within bounds, or block by
+    block. blocks: the cells of all variables in block form, by this cube's chunks, where a function on blocks made them; a sink can take them as they are.
     """
 
     tables: Mapping[Dims, DataFrame]
@@ -75,7 +77,8 @@ class Cube:
     chunks: Mapping[str, int]
     split_vars: bool = False
     untouched: bool = False
-    load: Callable[[Mapping[str, Sequence[int]]], Mapping[Dims, DataFrame]] | None = None
+    load: Any = None
+    blocks: DataFrame | None = None
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "chunks", {d: min(self.chunks.get(d, n), n) for d, n in self.template.sizes.items()})
@@ -171,7 +174,7 @@ class Cube:
         return f(self, *args, **kwargs)
 
     def _with(self, tables: Mapping[Dims, DataFrame], template: Template, chunks: Mapping[str, int] | None = None, **other: Any) -> Cube:
-        return replace(self, tables=tables, template=template, chunks=self.chunks if chunks is None else chunks, untouched=False, load=None, **other)
+        return replace(self, tables=tables, template=template, chunks=self.chunks if chunks is None else chunks, untouched=False, load=None, blocks=None, **other)
 
     # ---- selection ----------------------------------------------------------------------------------------------------------------
 
@@ -179,8 +182,18 @@ class Cube:
         """Only these variables."""
         names = [names] if isinstance(names, str) else list(names)
         template = self.template.select(names)
-        tables = {dims: t.select(*dims, *kept) for dims, t in self.tables.items() if (kept := [n for n in names if set(self.template.variables[n].dims) == set(dims)])}
-        return replace(self, tables=tables, template=template, chunks={d: self.chunks[d] for d in template.sizes}, load=None)
+        load = self.load and self.load.select(names)
+        if load:
+            tables = self._in_order(load.tables(), template)
+        else:
+            tables = {dims: t.select(*dims, *kept) for dims, t in self.tables.items() if (kept := [n for n in names if set(self.template.variables[n].dims) == set(dims)])}
+        return replace(self, tables=tables, template=template, chunks={d: self.chunks[d] for d in template.sizes}, load=load, blocks=None)
+
+    @staticmethod
+    def _in_order(tables: Mapping[Dims, DataFrame], template: Template) -> dict[Dims, DataFrame]:
+        """A store's tables with their dimensions in the template's order."""
+        order = {frozenset(v.dims): v.dims for v in template.variables.values()}
+        return {(to := order[frozenset(dims)]): t if to == dims else t.select(*to, *[c for c in t.columns if c not in dims]) for dims, t in tables.items()}
 
     def rename(self, names: Mapping[str, str]) -> Cube:
         """Variables under other names."""
@@ -195,21 +208,24 @@ class Cube:
         put = lambda ds: tuple(d for d in order if d in ds)
         template = replace(self.template, sizes={d: self.template.sizes[d] for d in order}, variables={n: replace(v, dims=put(v.dims)) for n, v in self.template.variables.items()})
         tables = {put(ds): t.select(*put(ds), *[c for c in t.columns if c not in ds]) for ds, t in self.tables.items()}
-        return replace(self, tables=tables, template=template, load=None)
+        return replace(self, tables=tables, template=template, blocks=None)
 
     def isel(self, **ranges: slice) -> Cube:
         """Positions start to stop of each given dimension, counted from 0 again; a store's chunks outside are not read."""
         bounds = {d: r.indices(self.template.sizes[d])[:2] for d, r in ranges.items()}
         bounds = {d: (a, max(a, b)) for d, (a, b) in bounds.items()}
+        labels = {d: self.template.labels[d][a:b] for d, (a, b) in bounds.items() if d in self.template.labels}
+        template = self.template.replace_dims(**{**{d: b - a for d, (a, b) in bounds.items()}, **labels})
+        load = self.load and self.load.within(bounds)
+        if load:
+            return replace(self, tables=self._in_order(load.tables(), template), template=template, load=load, blocks=None)
         tables = {}
-        for dims, t in (self.load(bounds) if self.load else self.tables).items():
+        for dims, t in self.tables.items():
             for d in set(dims) & set(bounds):
                 a, b = bounds[d]
                 t = t.where((F.col(d) >= a) & (F.col(d) < b)).withColumn(d, F.col(d) - a)
             tables[dims] = t
-        labels = {d: self.template.labels[d][a:b] for d, (a, b) in bounds.items() if d in self.template.labels}
-        template = self.template.replace_dims(**{**{d: b - a for d, (a, b) in bounds.items()}, **labels})
-        return replace(self, tables=tables, template=template, load=None)
+        return replace(self, tables=tables, template=template, blocks=None)
 
     def _ends(self, last: bool, counts: Mapping[str, int]) -> Cube:
         if not self.untouched:
@@ -229,38 +245,44 @@ class Cube:
 
     def with_offsets(self, dims: Dims | None = None) -> DataFrame:
         """The cells with the offset of their chunk along each dimension, as columns named <dim>_offset."""
-        dims = dims or next(iter(self.tables))
+        dims = next(iter(self.tables)) if dims is None else dims
         return self.tables[dims].withColumns({f"{d}_offset": G.offset_of(F.col(d), self.chunks[d]) for d in dims})
 
     def chunk_table(self, dims: Dims | None = None) -> DataFrame:
         """One row for each chunk that has cells: its offsets and number of cells."""
-        dims = dims or next(iter(self.tables))
+        dims = next(iter(self.tables)) if dims is None else dims
         return self.with_offsets(dims).groupBy(*[f"{d}_offset" for d in dims]).agg(F.count("*").alias("cells"))
 
     def split_chunks(self, chunks: Mapping[str, int]) -> Cube:
         """A finer or other grid; cells stay where they are."""
         return self._with(self.tables, self.template, {**self.chunks, **{d: self.template.sizes[d] if c == -1 else c for d, c in chunks.items()}})
 
-    def rechunk(self, chunks: Any, split_vars: bool | None = None, co_locate: bool = False) -> Cube:
-        """Another grid. Nothing moves unless co_locate asks for one exchange by the new offsets, which is left out if the grid is the same."""
+    def rechunk(self, chunks: Any, split_vars: bool | None = None, co_locate: bool = False, min_mem: int | None = None, max_mem: int | None = None) -> Cube:
+        """Another grid. Nothing moves unless co_locate asks for one exchange by the new offsets, which is left out if the grid is the same.
+
+        With max_mem no chunk of either grid may take more bytes, and a plan of pieces of min_mem bytes between them must exist: else ValueError. An exchange
+        of cells spills, so the plan's stages (explain_rechunk) need not be run one by one.
+        """
         split = self.split_vars if split_vars is None else split_vars
         grid = G.normalize_chunks(chunks, self.template.sizes, self.template.itemsizes(), split, self.chunks)
+        if max_mem is not None or min_mem is not None:
+            rechunk_plan(self.template.sizes, self.chunks, grid, self.itemsize, min_mem, 2**30 if max_mem is None else max_mem)
         if grid == dict(self.chunks) and split == self.split_vars:
             return self
         tables = dict(self.tables)
         if co_locate:
             tables = {dims: t.repartition(*[G.offset_of(F.col(d), grid[d]) for d in dims]) if dims else t for dims, t in tables.items()}
-        return replace(self, tables=tables, chunks=grid, split_vars=split, untouched=self.untouched and not co_locate, load=None if co_locate else self.load)
+        return replace(self, tables=tables, chunks=grid, split_vars=split, untouched=self.untouched and not co_locate, load=None if co_locate else self.load, blocks=None)
 
     def split_variables(self) -> Cube:
-        return self if self.split_vars else replace(self, split_vars=True)
+        return self if self.split_vars else replace(self, split_vars=True, blocks=None)
 
     def consolidate_variables(self) -> Cube:
-        return replace(self, split_vars=False) if self.split_vars else self
+        return replace(self, split_vars=False, blocks=None) if self.split_vars else self
 
     def long(self, dims: Dims | None = None) -> DataFrame:
         """One row for each cell and variable (variable, value): the split form."""
-        dims = dims or next(iter(self.tables))
+        dims = next(iter(self.tables)) if dims is None else dims
         return self.tables[dims].unpivot(list(dims), self.names_over(dims), "variable", "value")
 
     def merge(self, other: Cube) -> Cube:
@@ -299,49 +321,112 @@ class Cube:
     def map_blocks(self, func: Callable[..., Block], template: Template | None = None, chunks: Mapping[str, int] | None = None, with_key: bool = False) -> Cube:
         """func on each chunk as a numpy block (with_key: on its key and the block).
 
-        The new template is found by calling func on a block of zeros unless given. A dimension in several chunks must stay, with as many
-        chunks; with split_vars the variables must stay too. A chunk meets in one task, so it must fit a worker.
+        The new template and chunks are found by calling func on blocks of zeros of one chunk's shape unless given. A dimension in several chunks must stay, with
+        as many chunks; with split_vars the variables must stay too. A chunk meets in one task, so it must fit a worker. Chunks of a store that whole
+        stored units make up are read as blocks; else cells are dealt by chunk first.
         """
         if len(self.tables) != 1 and not self.split_vars:
             raise ValueError("variables differ in dimensions: select some, or split variables first")
         call = func if with_key else lambda key, block: func(block)
+        found = None
         if template is None:
-            template = self._inferred(call)
-        if self.split_vars and set(template.variables) != set(self.template.variables):
-            raise ValueError(f"with split variables the function must keep them: {sorted(self.template.variables)} became {sorted(template.variables)}")
-        if chunks is None:
-            chunks = G.infer_chunks(self.template.sizes, self.chunks, template.sizes)
-        chunks = {d: min(chunks[d], n) for d, n in template.sizes.items()}
-        for d, c in self.chunks.items():
-            count = -(-self.template.sizes[d] // c)
-            if count > 1 and d not in template.sizes:
-                raise ValueError(f"{d!r} is in {count} chunks but the function drops it: rechunk it to -1 first")
-            if count > 1 and (now := -(-template.sizes[d] // chunks[d])) != count:
-                raise ValueError(f"{d!r} was in {count} chunks and would be in {now}")
-        tables = {}
+            template, found = self._inferred(call)
+        grid = chunks or found or G.infer_chunks(self.template.sizes, self.chunks, template.sizes)
+        grid = {d: min(grid[d], n) for d, n in template.sizes.items()}
+        self._check_mapped(template, grid)
+        by_dims: dict[Dims, list[str]] = {}
+        for n, v in template.variables.items():
+            by_dims.setdefault(v.dims, []).append(n)
+        if len(by_dims) == 1 and not self.split_vars and (source := self._as_blocks()) is not None:
+            made = self._mapped_blocks(source, call, template, grid)
+            return replace(Cube.from_blocks(made, template, grid), blocks=made)
+        tables: dict[Dims, DataFrame] = {}
         for dims, t in self.tables.items():
             groups = [[n] for n in self.names_over(dims)] if self.split_vars else [self.names_over(dims)]
             for names in groups:
-                made = names if self.split_vars else list(template.variables)
-                for new in dict.fromkeys(template.variables[n].dims for n in made):
-                    own = [n for n in made if template.variables[n].dims == new]
-                    part = self._mapped(t, dims, names, call, template, chunks, new, own)
-                    tables[new] = tables[new].join(part, list(new)) if new in tables else part
-        return self._with(tables, template, chunks)
-
-    def _inferred(self, call: Callable) -> Template:
-        names = list(self.template.variables)
-        sizes = dict(self.template.sizes)
-        try:
-            zero = Block({n: (v.dims, np.zeros(tuple(sizes[d] for d in v.dims) if math.prod(self.template.shape(n)) <= 1 << 22 else tuple(self.chunks[d] for d in v.dims), v.dtype)) for n, v in self.template.variables.items()}, {d: x for d, x in self.template.labels.items()} if self.template.nbytes() <= 1 << 25 else {}, dict(self.template.attrs))
-            key = ChunkKey(dict.fromkeys(sizes, 0), frozenset(names) if self.split_vars else None)
+                for new, made in by_dims.items():
+                    if own := [n for n in made if not self.split_vars or n in names]:
+                        part = self._mapped(t, dims, names, call, template, grid, new, own)
+                        tables[new] = tables[new].join(part, list(new)) if new in tables else part
+        return self._with(tables, template, grid)
+
+    def _check_mapped(self, template: Template, grid: Mapping[str, int]) -> None:
+        """Raise ValueError unless each chunk of this grid can become one chunk of the new one."""
+        if self.split_vars and template.variables.keys() != self.template.variables.keys():
+            raise ValueError(f"with split variables the function must keep them: {sorted(self.template.variables)} became {sorted(template.variables)}")
+        for d, n in self.template.sizes.items():
+            was = math.ceil(n / self.chunks[d]) if n else 0
+            if was < 2:
+                continue
+            if d not in grid:
+                raise ValueError(f"{d!r} is in {was} chunks but the function drops it: rechunk it to -1 first")
+            if was != (now := math.ceil(template.sizes[d] / grid[d]) if grid[d] else 0):
+                raise ValueError(f"{d!r} was in {was} chunks and would be in {now}")
+
+    def _inferred(self, call: Callable) -> tuple[Template, dict[str, int]]:
+        """(template, chunks) of what call makes of this grid's chunks: the first and the last one are tried on zeros, whatever the dataset's size.
+
+        Labels stay where they do in both; where call changes them along a dimension in several chunks, it is tried on each chunk along that dimension.
+        """
+        t = self.template
+        counts = {d: max(1, math.ceil(n / self.chunks[d])) if n else 1 for d, n in t.sizes.items()}
+        several = [d for d, k in counts.items() if k > 1]
+
+        def tried(at: Mapping[str, int]) -> Block:
+            offsets = {d: at.get(d, 0) * self.chunks[d] for d in t.sizes}
+            cut = {d: slice(o, min(o + self.chunks[d], t.sizes[d])) for d, o in offsets.items()}
+            shape = lambda v: tuple(cut[d].stop - cut[d].start for d in v.dims)
+            zero = Block({n: (v.dims, np.zeros(shape(v), v.dtype)) for n, v in t.variables.items()}, {d: x[cut[d]] for d, x in t.labels.items()}, dict(t.attrs))
             with np.errstate(all="ignore"):
-                out = call(key, zero)
+                out = call(ChunkKey(offsets, frozenset(t.variables) if self.split_vars else None), zero)
             if not isinstance(out, Block):
                 raise TypeError(f"the function returned {type(out).__name__}, not a Block")
+            return out
+
+        def labels_of(d: str) -> np.ndarray:
+            mine = t.labels.get(d)
+            a, b = first.labels[d], last.labels.get(d)
+            if d not in several:
+                return np.asarray(a)
+            if mine is not None and b is not None and np.array_equal(a, mine[: len(a)]) and np.array_equal(b, mine[len(mine) - len(b) :]) and sizes[d] == len(mine):
+                return mine
+            return np.concatenate([tried({d: k}).labels[d] for k in range(counts[d])])
+
+        try:
+            first = tried({})
+            last = tried({d: counts[d] - 1 for d in several}) if several else first
+            sizes = {d: (counts[d] - 1) * n + last.sizes[d] if d in several else n for d, n in first.sizes.items()}
+            labels = {d: labels_of(d) for d in first.labels}
         except Exception as e:
             raise ValueError(f"the template cannot be found by calling the function on zeros: pass template= ({e})") from e
-        return Template(out.sizes, {n: Variable(d, np.asarray(x).dtype) for n, (d, x) in out.data.items()}, {d: np.asarray(x) for d, x in out.labels.items()}, out.attrs)
+        variables = {n: Variable(d, np.asarray(x).dtype) for n, (d, x) in first.data.items()}
+        return Template(sizes, variables, labels, first.attrs), dict(first.sizes)
+
+    def _as_blocks(self) -> DataFrame | None:
+        """All cells in block form without an exchange: as a function made them, or of a store of which each unit is read about once. Else None."""
+        if self.blocks is not None:
+            return self.blocks
+        if self.load is None or len(self.tables) != 1 or self.split_vars:
+            return None
+        return self.load.block_table(next(iter(self.tables)), self.chunks)
+
+    def _mapped_blocks(self, source: DataFrame, call: Callable, template: Template, grid: Mapping[str, int]) -> DataFrame:
+        """call on each row of a block table; the same form again."""
+        dims, old, old_template = next(iter(self.tables)), dict(self.chunks), self.template
+        new = next(iter(template.variables.values())).dims
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    offsets = {d: row[f"{d}_offset"] for d in dims}
+                    block = unpacked(row["variables"])
+                    block = Block(block.data, {d: old_template.labels[d][offsets[d] : offsets[d] + block.sizes[d]] for d in dims if d in old_template.labels}, dict(old_template.attrs))
+                    out = call(ChunkKey(offsets), block)
+                    moved = {d: offsets[d] // old[d] * grid[d] if d in offsets else 0 for d in new}
+                    check_block(ChunkKey(moved), out, template, grid, list(template.variables))
+                    yield packed(out, moved, list(template.variables))
+
+        return source.mapInArrow(run, ", ".join([*[f"{d}_offset bigint" for d in new], BLOCKS]))
 
     def _mapped(self, t: DataFrame, dims: Dims, names: list[str], call: Callable, template: Template, chunks: Mapping[str, int], new: Dims, own: list[str]) -> DataFrame:
         old_template, old, split = self.template, dict(self.chunks), self.split_vars
@@ -413,16 +498,13 @@ class Cube:
 
     def to_blocks(self, dims: Dims | None = None) -> DataFrame:
         """Block form: one row for each chunk with its offsets and, for each variable, name, dims, shape, dtype and bytes."""
-        dims = dims or next(iter(self.tables))
+        dims = next(iter(self.tables)) if dims is None else dims
         names, template, old = self.names_over(dims), self.template, dict(self.chunks)
 
         def run(key: tuple, cells: pa.Table) -> pa.Table:
             offsets = {d: k.as_py() for d, k in zip(dims, key, strict=True)}
             sizes = {d: min(old[d], template.sizes[d] - o) for d, o in offsets.items()}
-            b = block_of(cells, template, names, dims, offsets, sizes)
-            held = [{"name": n, "dims": list(dims), "shape": list(b[n].shape), "dtype": b[n].dtype.name, "data": b[n].tobytes()} for n in names]
-            kinds = pa.list_(pa.struct([("name", pa.string()), ("dims", pa.list_(pa.string())), ("shape", pa.list_(pa.int64())), ("dtype", pa.string()), ("data", pa.binary())]))
-            return pa.table({**{f"{d}_offset": pa.array([o], pa.int64()) for d, o in offsets.items()}, "variables": pa.array([held], kinds)})
+            return pa.Table.from_batches([packed(block_of(cells, template, names, dims, offsets, sizes), offsets, names)])
 
         schema = ", ".join([*[f"{d}_offset bigint" for d in dims], BLOCKS])
         return self.with_offsets(dims).groupBy(*[f"{d}_offset" for d in dims]).applyInArrow(run, schema)
@@ -441,9 +523,10 @@ class Cube:
                 for batch in batches:
                     for row in batch.to_pylist():
                         offsets = {d: row[f"{d}_offset"] for d in dims}
-                        data = {v["name"]: (tuple(v["dims"]), np.frombuffer(v["data"], v["dtype"]).reshape(v["shape"])) for v in row["variables"] if v["name"] in names}
-                        check_block(ChunkKey(offsets), Block(data), template, grid, names)
-                        yield from cells_of(Block(data), offsets, dims, names, template).to_batches()
+                        block = unpacked(row["variables"]).select(names)
+                        validate_block(ChunkKey(offsets), block)
+                        check_block(ChunkKey(offsets), block, template, grid, names)
+                        yield from cells_of(block, offsets, dims, names, template).to_batches(max_chunksize=1 << 16)
 
             schema = ", ".join([*[f"{d} bigint" for d in dims], *[f"{n} {spark_type(template.variables[n].dtype)}" for n in names]])
             tables[dims] = df.mapInArrow(run, schema)
@@ -459,12 +542,18 @@ class Cube:
             data |= {n: (self.template.variables[n].dims, np.transpose(b[n], [dims.index(d) for d in self.template.variables[n].dims])) for n in names}
         return Block({n: data[n] for n in self.template.variables}, dict(self.template.labels), dict(self.template.attrs))
 
-    def validate(self) -> DataFrame:
+    def validate(self, dims: Dims | None = None) -> DataFrame:
         """Chunks whose cells are not exactly one for each position; an empty table for a complete dataset.
 
-        Reports offset columns, cells, distinct positions, expected cells; chunks without any cell are there with 0.
+        Reports offset columns, cells, distinct positions, expected cells; chunks without any cell are there with 0. A cube of several tables reports all
+        of them, with the table's dimensions in a column dims and null offsets along others, unless dims chooses one.
         """
-        dims = next(iter(self.tables))
+        if dims is None and len(self.tables) > 1:
+            offsets = [f"{d}_offset" for d in self.template.sizes]
+            reports = [self.validate(ds).withColumn("dims", F.lit(",".join(ds))) for ds in self.tables]
+            whole = [r.select("dims", *[F.col(o) if o in r.columns else F.lit(None).cast("bigint").alias(o) for o in offsets], "cells", "positions", "outside", "expected") for r in reports]
+            return reduce(DataFrame.unionByName, whole)
+        dims = next(iter(self.tables)) if dims is None else dims
         t = self.with_offsets(dims)
         keys = [f"{d}_offset" for d in dims]
         size = F.lit(1).cast("bigint")
@@ -473,14 +562,17 @@ class Cube:
         inside = F.lit(True)
         for d in dims:
             inside = inside & (F.col(d) >= 0) & (F.col(d) < self.template.sizes[d])
-        counts = [-(-self.template.sizes[d] // self.chunks[d]) if self.template.sizes[d] else 0 for d in dims]
-        grid, step = t.sparkSession.range(math.prod(counts)), 1
-        for d, n in zip(reversed(dims), reversed(counts), strict=True):
-            grid = grid.withColumn(f"{d}_offset", F.pmod(F.floor(F.col("id") / F.lit(step)), F.lit(max(n, 1))) * self.chunks[d])
-            step *= max(n, 1)
-        grid = grid.drop("id")
-        found = t.groupBy(*keys).agg(F.count("*").alias("cells"), F.countDistinct(*dims).alias("positions"), F.count(F.when(~inside, 1)).alias("outside"))
-        report = grid.join(found, keys, "full").fillna(0, ["cells", "positions", "outside"]).withColumn("expected", size)
+        cells = [F.count("*").alias("cells"), (F.countDistinct(*dims) if dims else F.least(F.count("*"), F.lit(1))).alias("positions"), F.count(F.when(~inside, 1)).alias("outside")]
+        if not dims:
+            report = t.agg(*cells).withColumn("expected", size)
+        else:
+            counts = [-(-self.template.sizes[d] // self.chunks[d]) if self.template.sizes[d] else 0 for d in dims]
+            grid, step = t.sparkSession.range(math.prod(counts)), 1
+            for d, n in zip(reversed(dims), reversed(counts), strict=True):
+                grid = grid.withColumn(f"{d}_offset", F.pmod(F.floor(F.col("id") / F.lit(step)), F.lit(max(n, 1))) * self.chunks[d])
+                step *= max(n, 1)
+            found = t.groupBy(*keys).agg(*cells)
+            report = grid.drop("id").join(found, keys, "full").fillna(0, ["cells", "positions", "outside"]).withColumn("expected", size)
         return report.where("cells != expected OR positions != expected OR outside > 0")
 
     def observed(self, name: str) -> tuple[Cube, dict[Dims, Observation]]:
@@ -524,10 +616,24 @@ class Cube:
 
     def to_parquet(self, path: str, dims: Dims | None = None) -> None:
         """One cell table as Parquet, partitioned by the chunk offsets of its first dimension."""
-        dims = dims or next(iter(self.tables))
+        dims = next(iter(self.tables)) if dims is None else dims
         self.with_offsets(dims).repartition(F.col(f"{dims[0]}_offset")).write.partitionBy(f"{dims[0]}_offset").parquet(path)
 
 
+_BLOCK_TYPE = pa.list_(pa.struct([("name", pa.string()), ("dims", pa.list_(pa.string())), ("shape", pa.list_(pa.int64())), ("dtype", pa.string()), ("data", pa.binary())]))
+
+
+def packed(block: Block, offsets: Mapping[str, int], names: Sequence[str]) -> pa.RecordBatch:
+    """One row of a block table."""
+    held = [{"name": n, "dims": list(block.data[n][0]), "shape": list(block[n].shape), "dtype": block[n].dtype.name, "data": np.ascontiguousarray(block[n]).tobytes()} for n in names]
+    return pa.RecordBatch.from_arrays([*[pa.array([o], pa.int64()) for o in offsets.values()], pa.array([held], _BLOCK_TYPE)], names=[*[f"{d}_offset" for d in offsets], "variables"])
+
+
+def unpacked(variables: Sequence[Mapping[str, Any]]) -> Block:
+    """The block of a row of a block table."""
+    return Block({v["name"]: (tuple(v["dims"]), np.frombuffer(v["data"], v["dtype"]).reshape(v["shape"])) for v in variables})
+
+
 BLOCKS = "variables array<struct<name:string,dims:array<string>,shape:array<bigint>,dtype:string,data:binary>>"
 
 

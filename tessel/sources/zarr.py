@@ -14,7 +14,7 @@ import struct
 import warnings
 import zlib
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
@@ -46,6 +46,16 @@ def get(path: str) -> bytes | None:
         return f.read()
 
 
+def get_parts(path: str, choose) -> list[bytes] | None:
+    """Ranges of a file: choose(size, read) returns (offset, length) pairs, and may itself read(offset, length) before; None if there is no file."""
+    fs, p = _fs(path)
+    if fs.get_file_info(p).type != pafs.FileType.File:
+        return None
+    with fs.open_input_file(p) as f:
+        read = lambda offset, length: f.read_at(length, offset)
+        return [read(*r) for r in choose(f.size(), read)]
+
+
 def put(path: str, data: bytes) -> None:
     fs, p = _fs(path)
     fs.create_dir(p.rsplit("/", 1)[0], recursive=True)
@@ -68,15 +78,100 @@ def _crc32c_table() -> np.ndarray:
     return t
 
 
-_CRC32C = [int(x) for x in _crc32c_table()]
+_CRC32C = _crc32c_table()
+#: Bytes that are walked one by one; longer data is walked in as many lanes side by side as it takes.
+_LANE = 1024
+
+
+def _walk(lanes: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    """The register of each row of bytes, begun with crc."""
+    for column in np.ascontiguousarray(lanes.T):
+        crc = _CRC32C[(crc ^ column) & 255] ^ crc >> np.uint32(8)
+    return crc
+
+
+def _after_zeros(n: int) -> np.ndarray:
+    """What n zero bytes make of each bit of the register."""
+    power = np.uint32(1) << np.arange(32, dtype=np.uint32)
+    square = _walk(np.zeros((32, 1), np.uint8), power)
+    while n:
+        if n & 1:
+            power = _linear(square, power)
+        square = _linear(square, square)
+        n >>= 1
+    return power
+
+
+def _linear(columns: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The sum of the columns that x's bits choose."""
+    bits = (x[:, None] >> np.arange(32, dtype=np.uint32)) & 1
+    return np.bitwise_xor.reduce(np.where(bits, columns, np.uint32(0)), axis=1)
 
 
 def crc32c(data: bytes) -> int:
-    """The Castagnoli checksum; for shard indexes and small chunks."""
-    crc = 0xFFFFFFFF
-    for b in data:
-        crc = _CRC32C[(crc ^ b) & 255] ^ crc >> 8
-    return crc ^ 0xFFFFFFFF
+    """The Castagnoli checksum. Lanes are walked together and joined in pairs: a lane's register moves on by the zeros that the next lane is long."""
+    raw = np.frombuffer(data, np.uint8)
+    crc = np.array([0xFFFFFFFF], np.uint32)
+    lanes = 1 << (len(raw) // _LANE).bit_length() - 1 if len(raw) >= 2 * _LANE else 0
+    if lanes:
+        size = len(raw) // lanes
+        begin = np.zeros(lanes, np.uint32)
+        begin[0] = crc[0]
+        parts = _walk(raw[: size * lanes].reshape(lanes, size), begin)
+        raw = raw[size * lanes :]
+        shift = _after_zeros(size)
+        while len(parts) > 1:
+            parts = _linear(shift, parts[::2]) ^ parts[1::2]
+            shift = _linear(shift, shift)
+        crc = parts
+    return int(_walk(raw[None], crc)[0]) ^ 0xFFFFFFFF
+
+
+def _unshuffled(data: np.ndarray, size: int) -> np.ndarray:
+    """Elements of size bytes whose bytes lie plane by plane; a rest that is no whole element lies behind."""
+    whole = len(data) // size * size
+    return np.concatenate([data[:whole].reshape(size, -1).T.ravel(), data[whole:]])
+
+
+def _unshuffled_bits(data: np.ndarray, size: int) -> np.ndarray:
+    """Elements whose bits lie plane by plane, in whole groups of eight elements; the rest lies behind."""
+    n = len(data) // size // 8 * 8
+    bits = np.unpackbits(data[: n * size].reshape(size, 8, n // 8), axis=2, bitorder="little")
+    return np.concatenate([np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").ravel(), data[n * size :]])
+
+
+def blosc_decompress(data: bytes) -> bytes:
+    """A chunk in the version 1 container of blosc, with lz4, zlib, zstd or snappy inside, plain or shuffled by bytes or bits."""
+    if len(data) < 16:
+        raise ValueError(f"{len(data)} bytes are no blosc container")
+    _, _, flags, width, size, block, total = struct.unpack("<BBBBIII", data[:16])
+    if total > len(data):
+        raise ValueError(f"a blosc container of {total} bytes was cut to {len(data)}")
+    if flags & 2:  # stored as it was
+        return data[16 : 16 + size]
+    codec = {0: "blosclz", 1: "lz4_raw", 2: "snappy", 3: "zlib", 4: "zstd"}.get(flags >> 5)
+    if codec in ("blosclz", None):
+        raise ValueError(f"the blosc codec {codec or flags >> 5} is not supported: lz4, zlib, zstd and snappy are")
+    expand = (lambda x, n: zlib.decompress(x)) if codec == "zlib" else lambda x, n: pa.Codec(codec).decompress(x, n).to_pybytes()
+    blocks = -(-size // block)
+    out = []
+    for k, at in enumerate(struct.unpack(f"<{blocks}i", data[16 : 16 + 4 * blocks])):
+        n = min(block, size - k * block)
+        # whole blocks of small elements are compressed in one stream for each byte of an element, unless a flag says no
+        streams = width if not flags & 16 and width <= 16 and n == block and block // width >= 128 else 1
+        parts = []
+        for _ in range(streams):
+            (held,) = struct.unpack("<i", data[at : at + 4])
+            piece = data[at + 4 : at + 4 + held]
+            parts.append(piece if held == n // streams else expand(piece, n // streams))
+            at += 4 + held
+        x = np.frombuffer(b"".join(parts), np.uint8)
+        if flags & 1 and width > 1:
+            x = _unshuffled(x, width)
+        elif flags & 4:
+            x = _unshuffled_bits(x, width)
+        out.append(x.tobytes())
+    return b"".join(out)
 
 
 def _decompress(name: str, data: bytes, size: int) -> bytes:
@@ -93,7 +188,9 @@ def _decompress(name: str, data: bytes, size: int) -> bytes:
         import bz2
 
         return bz2.decompress(data)
-    raise ValueError(f"chunks are compressed with {name!r}, which is not supported: gzip, zlib, zstd, lz4 and bz2 are")
+    if name == "blosc":
+        return blosc_decompress(data)
+    raise ValueError(f"chunks are compressed with {name!r}, which is not supported: blosc, gzip, zlib, zstd, lz4 and bz2 are")
 
 
 def _compress(name: str, level: int | None, data: bytes) -> bytes:
@@ -105,7 +202,7 @@ def _compress(name: str, level: int | None, data: bytes) -> bytes:
         return pa.Codec("zstd", compression_level=level or None).compress(data).to_pybytes()
     if name == "lz4":
         return struct.pack("<I", len(data)) + pa.Codec("lz4_raw").compress(data).to_pybytes()
-    raise ValueError(f"compressor {name!r} is not supported: gzip, zlib, zstd and lz4 are")
+    raise ValueError(f"compressor {name!r} is not supported for writing: gzip, zlib, zstd and lz4 are")
 
 
 # ---- arrays -------------------------------------------------------------------------------------------------------------------------
@@ -130,6 +227,8 @@ class ArrayMeta:
     attrs: Mapping[str, Any] = None  # type: ignore[assignment]
     shuffle: int = 0
     prefix: bool = True
+    order: str = "C"
+    index_first: bool = False
 
     def file_of(self, at: Sequence[int]) -> str:
         parts = [str(i) for i in at]
@@ -146,12 +245,12 @@ class ArrayMeta:
         if self.compressor:
             data = _decompress(self.compressor[0], data, n)
         if self.shuffle > 1:
-            data = np.frombuffer(data, np.uint8).reshape(self.shuffle, -1).T.tobytes()
+            data = _unshuffled(np.frombuffer(data, np.uint8), self.shuffle).tobytes()
         x = np.frombuffer(data, np.dtype(self.dtype).newbyteorder(">" if self.swapped else "<"))
-        return x.reshape(shape).astype(self.dtype)
+        return x.reshape(shape, order=self.order).astype(self.dtype, order="C")
 
     def encode(self, x: np.ndarray) -> bytes:
-        data = np.ascontiguousarray(x, np.dtype(self.dtype).newbyteorder("<")).tobytes()
+        data = np.asarray(x, np.dtype(self.dtype).newbyteorder(">" if self.swapped else "<")).tobytes(self.order)
         if self.compressor:
             data = _compress(*self.compressor, data)
         return data + struct.pack("<I", crc32c(data)) if self.crc else data
@@ -159,26 +258,35 @@ class ArrayMeta:
     def unit(self) -> tuple[int, ...]:
         return self.shards or self.chunks
 
-    def read(self, at: Sequence[int]) -> np.ndarray:
-        """A whole unit (a file): a chunk, or all chunks of a shard; absent ones have the fill value."""
+    def read(self, at: Sequence[int], part: Sequence[slice] | None = None) -> np.ndarray:
+        """A unit (a file), or a part of it: a chunk, or chunks of a shard, of which only those that meet the part are read. Absent ones have the fill value."""
         unit = self.unit()
-        data = get(self.file_of(at))
+        part = tuple(part) if part is not None else tuple(slice(0, u) for u in unit)
         fill = np.array(self.fill if self.fill is not None else 0).astype(self.dtype)
-        if data is None:
-            return np.broadcast_to(fill, unit)
+        out = np.full([p.stop - p.start for p in part], fill, self.dtype)
         if not self.shards:
-            return self.decode(data, unit)
+            data = get(self.file_of(at))
+            return out if data is None else self.decode(data, unit)[part]
         counts = [s // c for s, c in zip(self.shards, self.chunks, strict=True)]
-        size = 16 * math.prod(counts) + 4
-        raw = data[-size:]
-        if struct.pack("<I", crc32c(raw[:-4])) != raw[-4:]:
-            raise ValueError(f"the index of a shard of {self.path} fails its checksum")
-        index = np.frombuffer(raw[:-4], "<u8").reshape(-1, 2)
-        out = np.full(unit, fill, self.dtype)
-        for k, (offset, length) in enumerate(index.tolist()):
-            if offset != 2**64 - 1:
-                place = np.unravel_index(k, counts)
-                out[tuple(slice(i * c, (i + 1) * c) for i, c in zip(place, self.chunks, strict=True))] = self.decode(data[offset : offset + length], self.chunks)
+        met = [range(p.start // c, -(-p.stop // c)) for p, c in zip(part, self.chunks, strict=True)]
+        places = [tuple(r[i] for r, i in zip(met, k, strict=True)) for k in np.ndindex(*map(len, met))]
+
+        def choose(size: int, read) -> list[tuple[int, int]]:
+            n = 16 * math.prod(counts)
+            raw = read(0 if self.index_first else size - n - 4, n + 4)
+            if struct.pack("<I", crc32c(raw[:-4])) != raw[-4:]:
+                raise ValueError(f"the index of a shard of {self.path} fails its checksum")
+            index = np.frombuffer(raw[:-4], "<u8").reshape(*counts, 2)
+            places[:] = [p for p in places if int(index[p][0]) != 2**64 - 1]
+            return [tuple(map(int, index[p])) for p in places]
+
+        for place, data in zip(places, get_parts(self.file_of(at), choose) or [], strict=False):
+            x = self.decode(data, self.chunks)
+            begin = [i * c for i, c in zip(place, self.chunks, strict=True)]
+            low = [max(p.start, b) for p, b in zip(part, begin, strict=True)]
+            high = [min(p.stop, b + c) for p, b, c in zip(part, begin, self.chunks, strict=True)]
+            to = tuple(slice(a - p.start, z - p.start) for p, a, z in zip(part, low, high, strict=True))
+            out[to] = x[tuple(slice(a - b, z - b) for b, a, z in zip(begin, low, high, strict=True))]
         return out
 
     def write(self, at: Sequence[int], x: np.ndarray) -> None:
@@ -201,11 +309,15 @@ class ArrayMeta:
         raw = np.array(index, "<u8").tobytes()
         put(self.file_of(at), b"".join(body) + raw + struct.pack("<I", crc32c(raw)))
 
+    def _data_type(self) -> Any:
+        dt = np.dtype(self.dtype)
+        return {"name": "fixed_length_utf32", "configuration": {"length_bytes": dt.itemsize}} if dt.kind == "U" else dt.name
+
     def metadata(self) -> dict:
         if self.format == 2:
             name, level = self.compressor or (None, None)
             comp = None if name is None else {"id": name} | ({"level": 1 if level is None else level} if name != "lz4" else {"acceleration": 1})
-            return {"zarr_format": 2, "shape": list(self.shape), "chunks": list(self.chunks), "dtype": np.dtype(self.dtype).newbyteorder("<").str, "compressor": comp, "fill_value": _json_fill(self.fill), "order": "C", "filters": None, "dimension_separator": self.separator}
+            return {"zarr_format": 2, "shape": list(self.shape), "chunks": list(self.chunks), "dtype": np.dtype(self.dtype).newbyteorder(">" if self.swapped else "<").str, "compressor": comp, "fill_value": _json_fill(self.fill), "order": self.order, "filters": None, "dimension_separator": self.separator}
         inner: list[dict] = [{"name": "bytes", "configuration": {"endian": "little"}} if np.dtype(self.dtype).itemsize > 1 else {"name": "bytes"}]
         if self.compressor:
             name, level = self.compressor
@@ -218,7 +330,7 @@ class ArrayMeta:
             index = [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "crc32c"}]
             codecs = [{"name": "sharding_indexed", "configuration": {"chunk_shape": list(self.chunks), "codecs": inner, "index_codecs": index, "index_location": "end"}}]
         return {
-            "zarr_format": 3, "node_type": "array", "shape": list(self.shape), "data_type": np.dtype(self.dtype).name, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": list(self.unit())}},
+            "zarr_format": 3, "node_type": "array", "shape": list(self.shape), "data_type": self._data_type(), "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": list(self.unit())}},
             "chunk_key_encoding": {"name": "default", "configuration": {"separator": self.separator}}, "fill_value": _json_fill(self.fill if self.fill is not None else 0), "codecs": codecs, "dimension_names": list(self.dims), "attributes": dict(self.attrs or {}),
         }
 
@@ -231,6 +343,8 @@ def _json_fill(x: Any) -> Any:
 
 def _fill(x: Any, dtype: str) -> Any:
     kind = np.dtype(dtype).kind
+    if kind == "U":
+        return x or ""
     if isinstance(x, str) and kind == "f":
         return {"NaN": math.nan, "Infinity": math.inf, "-Infinity": -math.inf}.get(x, None)
     if isinstance(x, str):
@@ -245,12 +359,15 @@ def open_array(path: str) -> ArrayMeta | None:
         if m.get("node_type") != "array":
             return None
         dtype = m["data_type"]
+        if isinstance(dtype, dict):
+            if dtype.get("name") != "fixed_length_utf32":
+                raise ValueError(f"the type {dtype.get('name')!r} of {path} is not supported")
+            dtype = f"<U{dtype['configuration']['length_bytes'] // 4}"
         unit = tuple(m["chunk_grid"]["configuration"]["chunk_shape"])
-        codecs, shards, chunks = m["codecs"], None, unit
+        codecs, shards, chunks, first = m["codecs"], None, unit, False
         if codecs and codecs[0]["name"] == "sharding_indexed":
             conf = codecs[0]["configuration"]
-            if conf.get("index_location", "end") != "end":
-                raise ValueError(f"shards of {path} have their index at the start, which is not supported")
+            first = conf.get("index_location", "end") == "start"
             shards, chunks, codecs = unit, tuple(conf["chunk_shape"]), conf["codecs"]
         compressor, crc, swapped = None, False, False
         for c in codecs:
@@ -265,13 +382,11 @@ def open_array(path: str) -> ArrayMeta | None:
                 raise ValueError(f"codec {c['name']!r} of {path} is not supported")
         key = m["chunk_key_encoding"]
         v2 = key["name"] == "v2"
-        return ArrayMeta(path, tuple(m.get("dimension_names") or [f"dim_{k}" for k in range(len(m["shape"]))]), tuple(m["shape"]), dtype, chunks, shards, _fill(m["fill_value"], dtype), 3, compressor, key.get("configuration", {}).get("separator", "." if v2 else "/"), crc, swapped, m.get("attributes", {}), prefix=not v2)
+        return ArrayMeta(path, tuple(m.get("dimension_names") or [f"dim_{k}" for k in range(len(m["shape"]))]), tuple(m["shape"]), dtype, chunks, shards, _fill(m["fill_value"], dtype), 3, compressor, key.get("configuration", {}).get("separator", "." if v2 else "/"), crc, swapped, m.get("attributes", {}), prefix=not v2, index_first=first)
     if raw := get(f"{path}/.zarray"):
         m = json.loads(raw)
         attrs = json.loads(get(f"{path}/.zattrs") or b"{}")
         dt = np.dtype(m["dtype"])
-        if m.get("order", "C") != "C":
-            raise ValueError(f"{path} is stored in Fortran order, which is not supported")
         shuffle = 0
         for f in m.get("filters") or []:
             if f["id"] != "shuffle":
@@ -279,7 +394,7 @@ def open_array(path: str) -> ArrayMeta | None:
             shuffle = f.get("elementsize", 4)
         comp = m.get("compressor")
         dims = tuple(attrs.pop("_ARRAY_DIMENSIONS", [f"dim_{k}" for k in range(len(m["shape"]))]))
-        return ArrayMeta(path, dims, tuple(m["shape"]), dt.newbyteorder("=").name, tuple(m["chunks"]), None, _fill(m.get("fill_value"), dt.str), 2, (comp["id"], comp.get("level")) if comp else None, m.get("dimension_separator", "."), False, dt.str[0] == ">", attrs, shuffle)
+        return ArrayMeta(path, dims, tuple(m["shape"]), dt.newbyteorder("=").str if dt.kind == "U" else dt.newbyteorder("=").name, tuple(m["chunks"]), None, _fill(m.get("fill_value"), dt.str), 2, (comp["id"], comp.get("level")) if comp else None, m.get("dimension_separator", "."), False, dt.str[0] == ">", attrs, shuffle, order=m.get("order", "C"))
     return None
 
 
@@ -321,20 +436,31 @@ def _labels(meta: ArrayMeta) -> np.ndarray:
 # ---- the data source ------------------------------------------------------------------------------------------------------------------
 
 
+#: Stored bytes, uncompressed, that one partition reads, unless there are fewer partitions than cores then.
+PARTITION_BYTES = 64 << 20
+#: Cells of one record batch.
+SLAB = 1 << 16
+
+
 @dataclass
-class Unit(InputPartition):
-    at: tuple[int, ...]
+class Run(InputPartition):
+    """Consecutive numbers of the units, or blocks, that meet the bounds."""
 
-    def __init__(self, at: tuple[int, ...]):
-        super().__init__(at)
-        self.at = at
+    first: int
+    stop: int
+
+    def __init__(self, first: int, stop: int):
+        super().__init__((first, stop))
+        self.first, self.stop = first, stop
 
 
 class ZarrSource(DataSource):
     """format('tessel_zarr'): options path, variables (comma separated) that share dimensions and stored units, and bounds.
 
-    bounds is JSON {dim: [from, to]}: only units that meet it are read, and only cells inside come out. It is an option and no pushed filter, as
-    Spark keeps a Python source's pushed filters for later plans of the same DataFrame, which then lack rows.
+    bounds is JSON {dim: [from, to]}: only units that meet it are read, and only cells inside come out, with positions counted from the bounds' begin. It is
+    an option and no pushed filter, as Spark keeps a Python source's pushed filters for later plans of the same DataFrame, which then lack rows.
+    cores is the least number of partitions if there are as many units. With blocks, JSON {dim: size}, each row is a block of that size instead of a cell.
+    The units of a partition are numbers of a run, so the driver lists partitions only, and a partition holds about PARTITION_BYTES.
     """
 
     @classmethod
@@ -354,39 +480,134 @@ class ZarrSource(DataSource):
         return metas
 
     def schema(self) -> str:
-        metas = self._metas()
-        names = self.options["variables"].split(",")
-        return ", ".join([*[f"{d} bigint" for d in metas[0].dims], *[f"{n} {spark_type(m.dtype)}" for n, m in zip(names, metas, strict=True)]])
+        return schema_of(self._metas(), self.options["variables"].split(","), "blocks" in self.options)
 
     def reader(self, schema: Any) -> DataSourceReader:
-        return ZarrReader(self._metas(), self.options["variables"].split(","), json.loads(self.options.get("bounds", "{}")))
+        chosen = {k: json.loads(self.options[k]) for k in ("bounds", "blocks") if k in self.options}
+        return ZarrReader(self._metas(), self.options["variables"].split(","), chosen.get("bounds", {}), int(self.options.get("cores", "1")), chosen.get("blocks"))
+
+
+def schema_of(metas: Sequence[ArrayMeta], names: Sequence[str], blocks: bool = False) -> str:
+    from ..operators.cube import BLOCKS
+
+    if blocks:
+        return ", ".join([*[f"{d}_offset bigint" for d in metas[0].dims], BLOCKS])
+    return ", ".join([*[f"{d} bigint" for d in metas[0].dims], *[f"{n} {spark_type(m.dtype)}" for n, m in zip(names, metas, strict=True)]])
 
 
 class ZarrReader(DataSourceReader):
-    def __init__(self, metas: list[ArrayMeta], names: list[str], bounds: Mapping[str, Sequence[int]]):
-        self.metas, self.names = metas, names
-        self.low = {d: max(0, bounds.get(d, (0, 0))[0]) for d in metas[0].dims}
-        self.high = {d: min(n, bounds.get(d, (0, n))[1]) for d, n in zip(metas[0].dims, metas[0].shape, strict=True)}
+    def __init__(self, metas: list[ArrayMeta], names: list[str], bounds: Mapping[str, Sequence[int]], cores: int = 1, blocks: Mapping[str, int] | None = None):
+        self.metas, self.names, self.cores = metas, names, cores
+        m = metas[0]
+        self.low = [max(0, bounds.get(d, (0, 0))[0]) for d in m.dims]
+        self.high = [min(n, bounds.get(d, (0, n))[1]) for d, n in zip(m.dims, m.shape, strict=True)]
+        self.blocks = None if blocks is None else [blocks[d] for d in m.dims]
+        # what is numbered: units by their own grid, blocks by a grid that begins at the bounds
+        if self.blocks is None:
+            self.grid = [range(a // u, -(-b // u)) for a, b, u in zip(self.low, self.high, m.unit(), strict=True)]
+        else:
+            self.grid = [range(-(-(b - a) // c)) for a, b, c in zip(self.low, self.high, self.blocks, strict=True)]
 
-    def partitions(self) -> Sequence[Unit]:
-        m = self.metas[0]
-        if any(self.low[d] >= self.high[d] for d in m.dims):
+    def partitions(self) -> Sequence[Run]:
+        if any(a >= b for a, b in zip(self.low, self.high, strict=True)):
             return []
-        ranges = [range(self.low[d] // u, -(-self.high[d] // u)) for d, u in zip(m.dims, m.unit(), strict=True)]
-        return [Unit(tuple(r[i] for r, i in zip(ranges, k, strict=True))) for k in np.ndindex(*[len(r) for r in ranges])]
+        count = math.prod(map(len, self.grid))
+        size = math.prod(self.blocks or self.metas[0].unit()) * sum(np.dtype(m.dtype).itemsize for m in self.metas)
+        pieces = min(count, max(self.cores, -(-count * size // PARTITION_BYTES)))
+        edges = [count * k // pieces for k in range(pieces + 1)]
+        return [Run(a, b) for a, b in zip(edges, edges[1:], strict=False)]
+
+    def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
+        for k in range(partition.first, partition.stop):
+            at = [r[int(i)] for r, i in zip(self.grid, np.unravel_index(k, tuple(map(len, self.grid))) if self.grid else (), strict=True)]
+            yield from self._unit(at) if self.blocks is None else self._block(at)
+
+    def _unit(self, at: Sequence[int]) -> Iterator[pa.RecordBatch]:
+        """The cells of a unit, in slabs."""
+        m = self.metas[0]
+        begin = [i * u for i, u in zip(at, m.unit(), strict=True)]
+        part = [slice(max(a, b) - b, min(z, b + u) - b) for a, z, b, u in zip(self.low, self.high, begin, m.unit(), strict=True)]
+        shape = tuple(p.stop - p.start for p in part)
+        values = [np.ascontiguousarray(x.read(at, part)).reshape(-1) for x in self.metas]
+        move = [b + p.start - a for b, p, a in zip(begin, part, self.low, strict=True)]
+        for first in range(0, math.prod(shape), SLAB):
+            cells = np.arange(first, min(first + SLAB, math.prod(shape)))
+            index = np.unravel_index(cells, shape) if shape else ()
+            columns = [pa.array(i + o, pa.int64()) for i, o in zip(index, move, strict=True)] + [pa.array(v[cells[0] : cells[-1] + 1]) for v in values]
+            yield pa.RecordBatch.from_arrays(columns, names=[*m.dims, *self.names])
+
+    def _block(self, at: Sequence[int]) -> Iterator[pa.RecordBatch]:
+        """A block, put together from the parts of units that meet it."""
+        from ..operators.block import Block
+        from ..operators.cube import packed
 
-    def read(self, partition: Unit) -> Iterator[pa.RecordBatch]:
         m = self.metas[0]
-        unit = m.unit()
-        begin = [i * u for i, u in zip(partition.at, unit, strict=True)]
-        shape = tuple(min(u, n - b) for u, n, b in zip(unit, m.shape, begin, strict=True))
-        inner = tuple(slice(max(0, self.low[d] - b), min(s, self.high[d] - b)) for d, b, s in zip(m.dims, begin, shape, strict=True))
-        size = [s.stop - s.start for s in inner]
-        index = np.indices(size).reshape(len(size), -1) if size else np.zeros((0, 1), np.int64)
-        cols = [pa.array(index[k] + begin[k] + inner[k].start, pa.int64()) for k in range(len(size))]
-        cols += [pa.array(np.ascontiguousarray(x.read(partition.at)[inner]).reshape(-1)) for x in self.metas]
-        table = pa.table(cols, names=[*m.dims, *self.names])
-        yield from table.to_batches(max_chunksize=1 << 16)
+        begin = [a + i * c for a, i, c in zip(self.low, at, self.blocks, strict=True)]
+        stop = [min(b + c, z) for b, c, z in zip(begin, self.blocks, self.high, strict=True)]
+        units = [range(b // u, -(-z // u)) for b, z, u in zip(begin, stop, m.unit(), strict=True)]
+        data = {}
+        for n, x in zip(self.names, self.metas, strict=True):
+            out = np.empty([z - b for b, z in zip(begin, stop, strict=True)], x.dtype)
+            for k in np.ndindex(*map(len, units)):
+                unit = [r[i] for r, i in zip(units, k, strict=True)]
+                start = [i * u for i, u in zip(unit, m.unit(), strict=True)]
+                low = [max(b, s) for b, s in zip(begin, start, strict=True)]
+                high = [min(z, s + u) for z, s, u in zip(stop, start, m.unit(), strict=True)]
+                piece = x.read(unit, [slice(a - s, z - s) for a, z, s in zip(low, high, start, strict=True)])
+                out[tuple(slice(a - b, z - b) for a, z, b in zip(low, high, begin, strict=True))] = piece
+            data[n] = (m.dims, out)
+        yield packed(Block(data), {f"{d}": b - a for d, b, a in zip(m.dims, begin, self.low, strict=True)}, self.names)
+
+
+@dataclass(frozen=True)
+class Stored:
+    """A store as a cube reads it: some variables within bounds. Selecting makes another one, which leaves the rest unread."""
+
+    spark: SparkSession
+    path: str
+    names: tuple[str, ...]
+    metas: Mapping[str, ArrayMeta]
+    bounds: Mapping[str, tuple[int, int]]
+
+    def select(self, names: Sequence[str]) -> Stored:
+        return replace(self, names=tuple(names))
+
+    def within(self, bounds: Mapping[str, Sequence[int]]) -> Stored:
+        """Positions a to b along some dimensions, counted from what is selected already."""
+        moved = {d: (self._begin(d) + a, self._begin(d) + b) for d, (a, b) in bounds.items()}
+        return replace(self, bounds={**self.bounds, **moved})
+
+    def _begin(self, d: str) -> int:
+        return self.bounds.get(d, (0, 0))[0]
+
+    def _over(self) -> dict[tuple[str, ...], list[str]]:
+        out: dict[tuple[str, ...], list[str]] = {}
+        for n in self.names:
+            out.setdefault(self.metas[n].dims, []).append(n)
+        return out
+
+    def _frame(self, dims: tuple[str, ...], names: list[str], **options: str) -> DataFrame:
+        metas = [self.metas[n] for n in names]
+        own = json.dumps({d: list(b) for d, b in self.bounds.items() if d in dims})
+        reader = self.spark.read.format("tessel_zarr").schema(schema_of(metas, names, "blocks" in options))
+        return reader.options(variables=",".join(names), bounds=own, cores=str(self.spark.sparkContext.defaultParallelism), **options).load(self.path)
+
+    def tables(self) -> dict[tuple[str, ...], DataFrame]:
+        return {dims: self._frame(dims, names) for dims, names in self._over().items()}
+
+    def block_table(self, dims: tuple[str, ...], chunks: Mapping[str, int]) -> DataFrame | None:
+        """One row for each chunk, if that reads no unit much more than once: chunks that cut across units are better dealt by cells."""
+        over = {frozenset(d): (d, names) for d, names in self._over().items()}
+        own, names = over[frozenset(dims)]
+        m = self.metas[names[0]]
+        pieces = units = 1
+        for d, n, u in zip(m.dims, m.shape, m.unit(), strict=True):
+            a, b = self.bounds.get(d, (0, n))
+            cuts = {x for x in range(a, b, chunks[d])} | {x for x in range(a // u * u, b, u) if x > a}
+            pieces, units = pieces * max(1, len(cuts)), units * max(1, -(-b // u) - a // u)
+        if own != tuple(dims) or pieces > 2 * units:
+            return None
+        return self._frame(own, names, blocks=json.dumps({d: chunks[d] for d in own}))
 
 
 def _register(spark: SparkSession) -> None:
@@ -421,16 +642,10 @@ def read_cube(spark: SparkSession, path: str, chunks: Any = None, split_vars: bo
     _register(spark)
     template, stored = open_template(path)
 
-    def load(bounds: Mapping[str, Sequence[int]]) -> dict[tuple[str, ...], DataFrame]:
-        tables = {}
-        for dims in dict.fromkeys(v.dims for v in template.variables.values()):
-            names = [n for n, v in template.variables.items() if v.dims == dims]
-            own = json.dumps({d: list(b) for d, b in bounds.items() if d in dims})
-            tables[dims] = spark.read.format("tessel_zarr").option("variables", ",".join(names)).option("bounds", own).load(path)
-        return tables
-
+    arrays, _ = open_store(path)
+    load = Stored(spark, path, tuple(template.variables), {n: arrays[n] for n in template.variables}, {})
     grid = stored if chunks is None else G.normalize_chunks(chunks, template.sizes, template.itemsizes(), split_vars, stored)
-    return Cube(load({}), template, grid, split_vars, True, load)
+    return Cube(load.tables(), template, grid, split_vars, True, load)
 
 
 # ---- writing ------------------------------------------------------------------------------------------------------------------------
@@ -492,10 +707,12 @@ def setup(template: Template, path: str, chunks: Mapping[str, int], shards: Mapp
         if x.dtype.kind == "M":
             x = x.astype("datetime64[ns]").astype(np.int64)
             attrs = {"units": "nanoseconds since 1970-01-01", "calendar": "proleptic_gregorian"}
-        if x.dtype.kind not in "iufb":
-            warnings.warn(f"labels of {d!r} are {x.dtype} and are not stored", stacklevel=2)
-            continue
-        label_metas[d] = (ArrayMeta(f"{path}/{d}", (d,), x.shape, x.dtype.name, (max(1, len(x)),), None, 0, zarr_format, ("zstd", None), "/" if zarr_format == 3 else ".", attrs=attrs), x)
+        if x.dtype.kind == "O" and all(isinstance(v, str) for v in x):
+            x = x.astype(str)
+        if x.dtype.kind not in "iufbU":
+            raise ValueError(f"labels of {d!r} are {x.dtype}, which has no stored form: numbers, dates and strings have")
+        text = x.dtype.kind == "U"
+        label_metas[d] = (ArrayMeta(f"{path}/{d}", (d,), x.shape, x.dtype.str if text else x.dtype.name, (max(1, len(x)),), None, "" if text else 0, zarr_format, ("zstd", None), "/" if zarr_format == 3 else ".", attrs=attrs), x)
     if zarr_format == 3:
         put(f"{path}/zarr.json", json.dumps({"zarr_format": 3, "node_type": "group", "attributes": dict(template.attrs)}).encode())
     else:
@@ -565,6 +782,7 @@ def write_cells(df: DataFrame, dims: Sequence[str], metas: Mapping[str, ArrayMet
         offsets = {d: i * u for d, i, u in zip(dims, at, unit, strict=True)}
         sizes = {d: min(u, n - offsets[d]) for d, u, n in zip(dims, unit, shape, strict=True)}
         try:
+            validate_chunk(ChunkKey(offsets), sizes, template.sizes, dict(zip(dims, unit, strict=True)))
             b = block_of(cells, template, names, tuple(dims), offsets, sizes)
             for n, m in metas.items():
                 m.write(at, b[n])
@@ -578,9 +796,36 @@ def write_cells(df: DataFrame, dims: Sequence[str], metas: Mapping[str, ArrayMet
     done.agg(F.sum("cells")).collect()
 
 
+def write_blocks(blocks: DataFrame, dims: Sequence[str], metas: Mapping[str, ArrayMeta]) -> int:
+    """Write a table of blocks that hold whole stored units, each by the task that has it; returns the number of cells."""
+    first = next(iter(metas.values()))
+    unit, shape = dict(zip(dims, first.unit(), strict=True)), dict(zip(dims, first.shape, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..operators.cube import unpacked
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = ChunkKey({d: row[f"{d}_offset"] for d in dims})
+                try:
+                    b = unpacked(row["variables"])
+                    validate_chunk(key, b.sizes, shape, unit)
+                    for n, m in metas.items():
+                        for k in np.ndindex(*[-(-b.sizes[d] // unit[d]) for d in dims]):
+                            part = tuple(slice(i * unit[d], min((i + 1) * unit[d], b.sizes[d])) for i, d in zip(k, dims, strict=True))
+                            m.write([key.offsets[d] // unit[d] + i for i, d in zip(k, dims, strict=True)], b[n][part])
+                except Exception as e:
+                    raise RuntimeError(f"failed to write the chunk at {key}: {e}") from e
+                yield pa.RecordBatch.from_arrays([pa.array([b[next(iter(metas))].size], pa.int64())], names=["cells"])
+
+    return blocks.mapInArrow(run, "cells bigint").agg(F.coalesce(F.sum("cells"), F.lit(0))).first()[0]
+
+
 def write_cube(cube, path: str, zarr_chunks: Mapping[str, int] | int | str | None = None, zarr_shards: Any = None, zarr_chunks_per_shard: Any = None, zarr_format: int | None = None, encoding: Mapping[str, Mapping[str, Any]] | None = None, needs_setup: bool = True) -> None:
     """Write a cube: metadata when the action runs, then every stored unit by one task.
 
+    Chunks that are at hand as blocks (made by a function, or whole units of another store) are written as they are; else cells are dealt by stored unit.
+
     zarr_chunks defaults to the cube's chunks. Shards (format 3) are given by size with zarr_shards, or are the cube's chunks if only zarr_chunks_per_shard is given.
     """
     t, sizes = cube.template, cube.template.sizes
@@ -607,11 +852,15 @@ def write_cube(cube, path: str, zarr_chunks: Mapping[str, int] | int | str | Non
         names = [n for n in cube.names_over(dims)]
         own = {n: metas[n] for n in names}
         order = t.variables[names[0]].dims
-        if any(t.variables[n].dims != order for n in names):
+        df.sparkSession.sparkContext.setJobDescription(f"write {', '.join(names)} to {path}")
+        if order == dims and dims and (blocks := cube._as_blocks()) is not None:
+            write_blocks(blocks, order, own)
+        elif any(t.variables[n].dims != order for n in names):
             for n in names:
                 write_cells(df, t.variables[n].dims, {n: own[n]})
         else:
             write_cells(df, order, own)
+        df.sparkSession.sparkContext.setJobDescription(None)
 
 
 def write_dataframe(df: DataFrame, dims: Sequence[str], path: str, template: Template | None = None, chunks: Any = -1, **options: Any) -> None:

@@ -168,3 +168,142 @@ def test_write_dataframe_and_custom_sinks(spark, tmp_path):
     seen, counts = c.observed("copy")
     seen.df.count()
     assert counts[("x",)].get == {"cells": 10, "v_present": 10}
+
+
+def partitions(cube):
+    return cube.df.rdd.getNumPartitions()
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_selections_reach_the_store(spark, tmp_path):
+    """Variables and bounds stay with the source through selections, transposes and further bounds."""
+    p = str(tmp_path / "s")
+    b = Block({n: (("t", "x"), RNG.normal(size=(20, 6))) for n in ("a", "b")})
+    Cube.from_block(spark, b, {"t": 2, "x": 6}).to_zarr(p)
+    c = Cube.from_zarr(spark, p)
+    full = partitions(c)
+    assert full >= 4
+    for part in (c["a"].head(t=2), c.head(t=2)["a"], c["a"].transpose("x", "t").head(t=2), c.isel(t=slice(4, 12))["a"].isel(t=slice(2, 4))):
+        assert partitions(part) == 1 and "b" not in part.df.columns
+    cut = c.isel(t=slice(4, 12)).transpose("x", "t").isel(t=slice(1, 5), x=slice(2, 6))["b"]
+    assert np.array_equal(cut.collect()["b"], b["b"][5:9, 2:6].T)
+    assert "[t#" in plan(c["a"].df) and "b#" not in plan(c["a"].df)
+
+
+def test_blocks_of_a_store_need_no_exchange(spark, tmp_path):
+    p, q, r = (str(tmp_path / n) for n in "pqr")
+    b = Block({n: (("t", "x"), RNG.normal(size=(20, 6))) for n in ("a", "b")}, {"t": np.array([f"day {k}" for k in range(20)])})
+    Cube.from_block(spark, b, {"t": 2, "x": 3}).to_zarr(p, zarr_format=3)
+    c = Cube.from_zarr(spark, p).rechunk({"t": 4, "x": -1})
+    m = c.map_blocks(lambda k: k.map(lambda v: v - v.mean(axis=1, keepdims=True)))
+    assert "Exchange" not in plan(m.df) and "Exchange" not in plan(m.blocks)
+    want = b.map(lambda v: v - v.mean(axis=1, keepdims=True))
+    assert np.allclose(m.collect()["a"], want["a"]) and m.collect().labels["t"].tolist() == b.labels["t"].tolist()
+    m.to_zarr(q, zarr_chunks={"t": 2, "x": 3})
+    back = Cube.from_zarr(spark, q)
+    assert np.allclose(back.collect()["b"], want["b"]) and back.chunks == {"t": 2, "x": 3} and back.template.labels["t"].tolist() == b.labels["t"].tolist()
+    # chunks across all units are dealt by cells
+    assert Cube.from_zarr(spark, p).rechunk({"t": -1, "x": 1})._as_blocks() is None
+    part = Cube.from_zarr(spark, p).isel(t=slice(3, 17)).rechunk({"t": 5, "x": 3})
+    part.to_zarr(r)
+    assert Cube.from_zarr(spark, r).collect().equals(b.isel(t=slice(3, 17)))
+
+
+def test_only_inner_chunks_of_a_shard_are_read(spark, tmp_path, monkeypatch):
+    p = str(tmp_path / "s")
+    b = Block({"v": (("t", "x"), np.arange(96.0).reshape(8, 12))})
+    Cube.from_block(spark, b, -1).to_zarr(p, zarr_chunks={"t": 2, "x": 3}, zarr_shards={"t": 8, "x": 12}, encoding={"v": {"crc32c": True}})
+    meta = zarr.open_array(f"{p}/v")
+    decoded = []
+    inner = zarr.ArrayMeta.decode
+    monkeypatch.setattr(zarr.ArrayMeta, "decode", lambda self, data, shape: decoded.append(1) or inner(self, data, shape))
+    assert np.array_equal(meta.read((0, 0), (slice(3, 5), slice(4, 6))), b["v"][3:5, 4:6]) and len(decoded) == 2
+    assert np.array_equal(meta.read((0, 0)), b["v"]) and len(decoded) == 18
+
+
+def slow_crc32c(data):
+    crc = 0xFFFFFFFF
+    for x in data:
+        crc ^= x
+        for _ in range(8):
+            crc = crc >> 1 ^ (0x82F63B78 if crc & 1 else 0)
+    return crc ^ 0xFFFFFFFF
+
+
+@pytest.mark.parametrize("n", [0, 1, 1000, 2047, 2048, 5000, 70_001])
+def test_crc32c_of_any_length(n):
+    data = RNG.bytes(n)
+    assert zarr.crc32c(data) == slow_crc32c(data)
+
+
+def blosc(data, width, shuffle, codec, block, split):
+    """The container, written plainly: 1 byte shuffle, 2 bit shuffle; codec 1 lz4, 3 zlib, 4 zstd."""
+    import pyarrow as pa
+    import struct
+    import zlib
+
+    pack = {1: lambda x: pa.Codec("lz4_raw").compress(x).to_pybytes(), 3: zlib.compress, 4: lambda x: pa.Codec("zstd").compress(x).to_pybytes()}[codec]
+    blocks = []
+    for k in range(0, len(data), block):
+        x = np.frombuffer(data[k : k + block], np.uint8)
+        n = len(x) // width
+        if shuffle == 1:
+            x = np.concatenate([x[: n * width].reshape(n, width).T.ravel(), x[n * width :]])
+        if shuffle == 2:
+            m = n // 8 * 8
+            bits = np.unpackbits(x[: m * width].reshape(m, width, 1), axis=2, bitorder="little")
+            x = np.concatenate([np.packbits(bits.transpose(1, 2, 0), axis=2, bitorder="little").ravel(), x[m * width :]])
+        streams = width if split and len(x) == block and width <= 16 and block // width >= 128 else 1
+        out = b""
+        for part in x.reshape(streams, -1):
+            held = pack(part.tobytes())
+            held = held if len(held) < len(part) else part.tobytes()
+            out += struct.pack("<i", len(held)) + held
+        blocks.append(out)
+    starts = np.cumsum([16 + 4 * len(blocks), *map(len, blocks)])[:-1]
+    body = struct.pack(f"<{len(blocks)}i", *starts) + b"".join(blocks)
+    flags = {0: 0, 1: 1, 2: 4}[shuffle] | codec << 5 | (0 if split else 16)
+    return struct.pack("<BBBBIII", 2, 1, flags, width, len(data), block, 16 + len(body)) + body
+
+
+@pytest.mark.parametrize("codec", [1, 3, 4])
+@pytest.mark.parametrize("shuffle", [0, 1, 2])
+@pytest.mark.parametrize("split", [False, True])
+def test_blosc_containers(codec, shuffle, split):
+    for width, n in ((8, 5003), (4, 4096), (1, 999)):
+        data = np.cumsum(RNG.integers(0, 3, n)).astype(f"i{width}" if width > 1 else "u1").tobytes()
+        for block in (1024, 2048, len(data)):
+            assert zarr.blosc_decompress(blosc(data, width, shuffle, codec, block, split)) == data
+    raw = RNG.bytes(100)
+    import struct
+
+    assert zarr.blosc_decompress(struct.pack("<BBBBIII", 2, 1, 2, 4, 100, 100, 116) + raw) == raw
+    with pytest.raises(ValueError, match="blosclz"):
+        zarr.blosc_decompress(struct.pack("<BBBBIII", 2, 1, 0, 4, 100, 100, 116) + raw)
+
+
+def test_blosc_and_fortran_stores(spark, tmp_path):
+    """A store of format 2 as other writers leave it: blosc chunks in Fortran order."""
+    p = str(tmp_path)
+    x = RNG.normal(size=(6, 4)).astype("f4")
+    meta = zarr.ArrayMeta(f"{p}/v", ("t", "x"), (6, 4), "float32", (4, 4), None, float("nan"), 2, None, ".", order="F")
+    told = meta.metadata() | {"compressor": {"id": "blosc", "cname": "lz4", "clevel": 5, "shuffle": 1, "blocksize": 0}}
+    zarr.put(f"{p}/v/.zarray", json.dumps(told).encode())
+    zarr.put(f"{p}/v/.zattrs", b'{"_ARRAY_DIMENSIONS": ["t", "x"]}')
+    for k in range(2):
+        part = np.full((4, 4), np.nan, "f4")
+        part[: min(4, 6 - 4 * k)] = x[4 * k : 4 * k + 4]
+        zarr.put(meta.file_of((k, 0)), blosc(part.tobytes("F"), 4, 1, 1, 64, True))
+    assert np.array_equal(Cube.from_zarr(spark, p).collect()["v"], x)
+
+
+@pytest.mark.parametrize("zarr_format", [2, 3])
+def test_string_labels(spark, tmp_path, zarr_format):
+    b = Block({"v": (("x",), np.arange(3.0))}, {"x": np.array(["a", "", "größer"])})
+    Cube.from_block(spark, b, 2).to_zarr(str(tmp_path / "s"), zarr_format=zarr_format)
+    assert Cube.from_zarr(spark, str(tmp_path / "s")).collect().labels["x"].tolist() == ["a", "", "größer"]
+    with pytest.raises(ValueError, match="no stored form"):
+        Cube.from_block(spark, Block({"v": (("x",), np.arange(1.0))}, {"x": np.array([1j])}), 1).to_zarr(str(tmp_path / "c"))
