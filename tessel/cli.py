@@ -63,7 +63,7 @@ def climatology(spark: SparkSession, source: str, target: str, time: str = "time
     sizes = {"month": 12, "hour": len(hours), **{d: n for d, n in cube.sizes.items() if d != time}}
     template = Template(sizes, variables, {"month": np.arange(1, 13), "hour": np.array(hours), **{d: x for d, x in cube.template.labels.items() if d != time}}, cube.template.attrs)
     chunks = {"month": 1, "hour": 1, **{d: c for d, c in cube.chunks.items() if d != time}}
-    replace(cube, tables=tables, template=template, chunks=chunks, untouched=False).to_zarr(target)
+    replace(cube, tables=tables, template=template, chunks=chunks, untouched=False, load=None).to_zarr(target)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -285,6 +285,12 @@ class Cube:
         dims = next(iter(self.tables)) if dims is None else dims
         return self.tables[dims].unpivot(list(dims), self.names_over(dims), "variable", "value")
 
+    @classmethod
+    def from_long(cls, df: DataFrame, dims: Sequence[str], names: Sequence[str], chunks: Any = -1, sizes: Mapping[str, int] | None = None) -> Cube:
+        """A cube of the split form: rows of dims, variable and value become one row for each cell with all variables."""
+        wide = df.groupBy(*dims).pivot("variable", list(names)).agg(F.first("value", ignorenulls=True))
+        return cls.from_dataframe(wide, dims, names, sizes, chunks)
+
     def merge(self, other: Cube) -> Cube:
         """The variables of both; those over the same dimensions meet in one join on positions. Shared names raise ValueError."""
         if both := set(self.template.variables) & set(other.template.variables):
@@ -582,7 +588,7 @@ class Cube:
             o = Observation(f"{name}:{','.join(dims)}")
             tables[dims] = t.observe(o, F.count(F.lit(1)).alias("cells"), *[F.count(means.present(t, v)).alias(f"{v}_present") for v in self.names_over(dims)])
             seen[dims] = o
-        return replace(self, tables=tables), seen
+        return replace(self, tables=tables, load=None, blocks=None), seen
 
     # ---- sinks ---------------------------------------------------------------------------------------------------------------------
 
