@@ -5,13 +5,14 @@ Each text's shingle set gives 128 MinHash samples. Bands of 4 samples put likely
 two sketches estimates how many samples differ, precisely for similar sets, and rules candidates out. What is left is confirmed on full shingle sets.
 
 No bucket is expanded into all its pairs. Texts with equal sets are one node. First each bucket links its members to its smallest one, its centre. Members
-of a centre that these links leave in different components are then compared across components, those outside the largest component with all: the join
-tests the sketches and then the exact difference, and only links come out of it. So a group of copies costs a link for each copy. Joins by a
+of a centre that these links leave in different components are then compared across components, those outside the largest component with all of
+similar size: the join tests the sketches and then the exact difference, and only links come out of it. So a group of copies costs a link for each copy. Joins by a
 centre that very many members share are plain joins of stored tables, which adaptive execution splits.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -224,7 +225,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     far = lambda both: 100 * (F.col("n_a") + F.col("n_b") - both) >= percent * (F.col("n_a") + F.col("n_b") + both)
     apart = (F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))).cast("long")
     once = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b")))
-    across = one("a").where("c_a != main").join(one("b").drop("main"), "centre").where(once & far(F.abs(F.size("d_a") - F.size("d_b"))) & gate & far(apart))
+    # sizes of linked sets differ by the threshold at most: classes of that width meet their own and the next ones only
+    width_ = max(math.log(100 / percent), 0.01) * 1.0001
+    class_of = lambda k: F.floor(F.log(F.col(f"n_{k}")) / F.lit(width_))
+    near = F.explode(F.array(*[class_of("b") + F.lit(k) for k in (-1, 0, 1)]))
+    across = one("a").where("c_a != main").withColumn("class", class_of("a")).join(one("b").drop("main").withColumn("class", near), ["centre", "class"]).where(once & far(F.abs(F.size("d_a") - F.size("d_b"))) & gate & far(apart))
     more = materialize(across.select("a", "b").distinct(), "near-links")
     links = links.union(more).union(classes_links(some))
     final = components(links, "near-components")

@@ -68,6 +68,28 @@ def test_links_without_a_shared_centre(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == components(sets)
 
 
+def test_centre_of_many_unlinked_members(spark):
+    """Texts of all sizes that share a passage, and with it buckets, but are no near-duplicates, among groups that are."""
+    rng = np.random.default_rng(5)
+    shared = [f"s{k}" for k in range(40)]
+    rows = []
+    for i in range(400):
+        own = [f"d{i // 2 if i % 20 == 0 else i}-{k}" for k in range(int(rng.integers(5, 120)))]
+        rows.append((i, " ".join(shared + own), "s"))
+        if i % 25 == 0:
+            rows.append((1000 + i, " ".join(shared + own + ["more"]), "s"))
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, s string"), width=4)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == components(sets_of(rows, 4))
+
+
+def test_near_duplicates_of_repeated_ids_with_other_texts(spark):
+    """An id with several texts is one document: the text with the smallest set stands for it, in whatever order rows come."""
+    rows = [(5, "a b c d e f g h"), (5, "q r s t u"), (6, "q r s t u"), (7, "a b c d e f g h"), (5, None)]
+    for k in range(3):
+        got = near_dup.near_duplicates(spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string").repartition(2), width=5)
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == [(5, 0, 5), (5, 1, 5), (5, 4, 5), (6, 1, 5), (7, 4, 7)]
+
+
 def test_near_duplicates_odd_tables(spark, docs, no_docs):
     assert near_dup.near_duplicates(no_docs).count() == 0
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, None), (3, None)]
