@@ -91,13 +91,16 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     prefixes = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths])
     candidates = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, F.lit("\n"), p))))
     hits = F.filter(candidates, lambda c: c.isNotNull() & might_contain(c, bloom))
-    tested = parsed.withColumn("hits", F.when(F.col("host") != "", hits).otherwise(F.array().cast("array<string>"))).withColumn("uid", F.monotonically_increasing_id())
-    looked = tested.select("row_id", "host", "path", "uid", F.size("hits").alias("possible_hits"), F.explode_outer("hits").alias("key"))
+    tested = parsed.withColumn("hits", F.when(F.col("host") != "", hits).otherwise(F.array().cast("array<string>")))
+    # only URLs with a hit are dealt out; the others are done
+    missed = tested.where(F.size("hits") == 0).select(F.col("row_id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(0).alias("possible_hits"))
+    looked = tested.where(F.size("hits") > 0).withColumn("uid", F.monotonically_increasing_id()).select("row_id", "host", "path", "uid", F.size("hits").alias("possible_hits"), F.explode("hits").alias("key"))
     exact = F.broadcast(listed.drop("n")) if count <= BROADCAST_RULES else listed.drop("n")
     rank = F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("action"))
-    return (
+    judged = (
         looked.join(exact, "key", "left")
         .groupBy("uid", "row_id", "host", "path", "possible_hits")
         .agg(F.max(F.when(F.col("rule").isNotNull(), rank)).alias("best"))
         .select(F.col("row_id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"), "possible_hits")
     )
+    return judged.unionByName(missed)
