@@ -321,8 +321,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             sizes = [len(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.list_(pa.float64())), pa.array([len(x) for x in clauses], pa.int64()), pa.array(sizes, pa.int64()), batch.column(1)], names=["sums", "n", "size", "label"])
 
-    got = rows.mapInArrow(measure, "sums array<double>, n long, size long, label int").orderBy("sums", "n", "size", "label").toPandas()  # at most train_rows
-    grammar.weights, grammar.coef = _fitted(np.array(got["sums"].tolist()).reshape(len(got), BOTH + 1), got["n"].to_numpy(float), got["size"].to_numpy(float), got["label"].to_numpy(float))
+    got = rows.mapInArrow(measure, "sums array<double>, n long, size long, label int").toPandas()  # at most train_rows
+    x = np.column_stack([np.array(got["sums"].tolist()).reshape(len(got), BOTH + 1), got[["n", "size", "label"]].to_numpy(float)])
+    x = x[np.lexsort(x.T)]  # in an order that does not depend on partitions
+    grammar.weights, grammar.coef = _fitted(x[:, : BOTH + 1], *x[:, BOTH + 1 :].T)
     return grammar
 
 
