@@ -39,14 +39,23 @@ class Variable:
 
 @dataclass(frozen=True)
 class Template:
-    """sizes of the dimensions, variables over them, labels (index coordinates) of some dimensions, attributes."""
+    """sizes of the dimensions, variables over them, labels (index coordinates) of some dimensions, attributes.
+
+    eager: small variables that are known already, as (dimensions, array), scalars too. A store gets them with its metadata; cells never hold them.
+    """
 
     sizes: Mapping[str, int]
     variables: Mapping[str, Variable]
     labels: Mapping[str, np.ndarray] = field(default_factory=dict)
     attrs: Mapping[str, Any] = field(default_factory=dict)
+    eager: Mapping[str, tuple[tuple[str, ...], np.ndarray]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        for name, (dims, x) in self.eager.items():
+            if name in self.variables:
+                raise ValueError(f"{name!r} is both a variable of cells and an eager one")
+            if np.shape(x) != tuple(self.sizes.get(d) for d in dims):
+                raise ValueError(f"eager variable {name!r} over {dims} has shape {np.shape(x)}")
         for name, v in self.variables.items():
             if missing := [d for d in v.dims if d not in self.sizes]:
                 raise ValueError(f"variable {name!r} has dimensions {missing} without a size")
@@ -73,9 +82,14 @@ class Template:
 
     def select(self, names: Iterable[str]) -> Template:
         """Only these variables and the dimensions that they use."""
-        kept = {n: self.variables[n] for n in names}
-        used = {d for v in kept.values() for d in v.dims}
-        return replace(self, sizes={d: n for d, n in self.sizes.items() if d in used}, variables=kept, labels={d: x for d, x in self.labels.items() if d in used})
+        kept = {n: self.variables[n] for n in names if n not in self.eager}
+        eager = {n: self.eager[n] for n in names if n in self.eager}
+        used = {d for dims in (*[v.dims for v in kept.values()], *[dims for dims, _ in eager.values()]) for d in dims}
+        return replace(self, sizes={d: n for d, n in self.sizes.items() if d in used}, variables=kept, labels={d: x for d, x in self.labels.items() if d in used}, eager=eager)
+
+    def with_values(self, **values: tuple[tuple[str, ...], Any]) -> Template:
+        """More eager variables, each given as (dimensions, array)."""
+        return replace(self, eager={**self.eager, **{n: (tuple(dims), np.asarray(x)) for n, (dims, x) in values.items()}})
 
     def replace_dims(self, **dims: int | np.ndarray | list) -> Template:
         """Dimensions with new sizes, which drop their labels, or with new labels, which set their size too; order of dims stays."""
@@ -90,6 +104,8 @@ class Template:
         unused = [d for d in dims if d not in self.sizes]
         if unused:
             raise ValueError(f"{unused} are not dimensions of the template: {list(self.sizes)}")
+        if fixed := [n for n, (ds, _) in self.eager.items() if any(sizes[d] != self.sizes[d] for d in ds)]:
+            raise ValueError(f"eager variables {fixed} have values along dimensions that change their size")
         return replace(self, sizes=sizes, labels=labels)
 
     def add_dims(self, names: Iterable[str] | None = None, **dims: int | np.ndarray | list) -> Template:
@@ -102,7 +118,8 @@ class Template:
 
     def drop_dims(self, *dims: str) -> Template:
         variables = {n: replace(v, dims=tuple(d for d in v.dims if d not in dims)) for n, v in self.variables.items()}
-        return replace(self, sizes={d: n for d, n in self.sizes.items() if d not in dims}, variables=variables, labels={d: x for d, x in self.labels.items() if d not in dims})
+        eager = {n: (ds, x) for n, (ds, x) in self.eager.items() if not set(ds) & set(dims)}
+        return replace(self, sizes={d: n for d, n in self.sizes.items() if d not in dims}, variables=variables, labels={d: x for d, x in self.labels.items() if d not in dims}, eager=eager)
 
     def __repr__(self) -> str:
         lines = [f"Template({', '.join(f'{d}: {n}' for d, n in self.sizes.items())})"]

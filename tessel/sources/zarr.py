@@ -675,7 +675,7 @@ def check_multiples(name: str, stored: Mapping[str, int], chunks: Mapping[str, i
 
 
 def setup(template: Template, path: str, chunks: Mapping[str, int], shards: Mapping[str, int] | None = None, zarr_format: int | None = None, encoding: Mapping[str, Mapping[str, Any]] | None = None) -> dict[str, ArrayMeta]:
-    """Write metadata and labels; the arrays of the template's variables, whose values come later."""
+    """Write metadata, labels and eager variables, and the metadata of the variables of cells, whose values come later."""
     if not template.variables:
         raise ValueError("the template has no variable to write")
     if shards:
@@ -695,12 +695,15 @@ def setup(template: Template, path: str, chunks: Mapping[str, int], shards: Mapp
         if unknown := e.keys() - {"compressor", "level", "fill_value", "crc32c"}:
             raise ValueError(f"encoding of {n!r} holds {sorted(unknown)}, which is not known")
     path = path.rstrip("/")
-    metas = {}
+    metas, eager_metas = {}, {}
     for n, v in template.variables.items():
         e = encoding.get(n, {})
         comp = (e.get("compressor", "zstd"), e.get("level"))
         fill = e.get("fill_value", math.nan if v.dtype.kind == "f" else 0)
         metas[n] = ArrayMeta(f"{path}/{n}", v.dims, template.shape(n), v.dtype.name, tuple(max(1, chunks[d]) for d in v.dims), tuple(shards[d] for d in v.dims) if shards else None, fill, zarr_format, comp if comp[0] else None, "/" if zarr_format == 3 else ".", bool(e.get("crc32c")) and zarr_format == 3, attrs=dict(v.attrs))
+    for n, (dims, x) in template.eager.items():
+        unit = tuple(max(1, chunks.get(d, template.sizes[d])) for d in dims)
+        eager_metas[n] = (ArrayMeta(f"{path}/{n}", dims, x.shape, x.dtype.name, unit, None, math.nan if x.dtype.kind == "f" else 0, zarr_format, ("zstd", None), "/" if zarr_format == 3 else "."), x)
     label_metas = {}
     for d, x in template.labels.items():
         x, attrs = np.asarray(x), {}
@@ -718,7 +721,7 @@ def setup(template: Template, path: str, chunks: Mapping[str, int], shards: Mapp
     else:
         put(f"{path}/.zgroup", b'{"zarr_format": 2}')
         put(f"{path}/.zattrs", json.dumps(dict(template.attrs)).encode())
-    for m in [*metas.values(), *[m for m, _ in label_metas.values()]]:
+    for m in [*metas.values(), *[m for m, _ in (*label_metas.values(), *eager_metas.values())]]:
         if zarr_format == 3:
             put(f"{m.path}/zarr.json", json.dumps(m.metadata()).encode())
         else:
@@ -726,6 +729,9 @@ def setup(template: Template, path: str, chunks: Mapping[str, int], shards: Mapp
             put(f"{m.path}/.zattrs", json.dumps({"_ARRAY_DIMENSIONS": list(m.dims), **dict(m.attrs or {})}).encode())
     for m, x in label_metas.values():
         m.write((0,), x)
+    for m, x in eager_metas.values():
+        for at in np.ndindex(*[-(-n // u) for n, u in zip(m.shape, m.chunks, strict=True)]):
+            m.write(at, x[tuple(slice(i * u, (i + 1) * u) for i, u in zip(at, m.chunks, strict=True))])
     return metas
 
 

@@ -307,3 +307,19 @@ def test_string_labels(spark, tmp_path, zarr_format):
     assert Cube.from_zarr(spark, str(tmp_path / "s")).collect().labels["x"].tolist() == ["a", "", "größer"]
     with pytest.raises(ValueError, match="no stored form"):
         Cube.from_block(spark, Block({"v": (("x",), np.arange(1.0))}, {"x": np.array([1j])}), 1).to_zarr(str(tmp_path / "c"))
+
+
+def test_eager_variables_are_stored_with_the_metadata(spark, tmp_path):
+    b = Block({"v": (("t", "x"), np.arange(12.0).reshape(4, 3))})
+    c = Cube.from_block(spark, b, {"t": 2})
+    mask, year = np.array([1, 0, 1]), np.array(1979)
+    t = c.template.with_values(mask=(("x",), mask), year=((), year))
+    for zarr_format in (2, 3):
+        p = str(tmp_path / f"s{zarr_format}")
+        Cube(c.tables, t, c.chunks).to_zarr(p, zarr_format=zarr_format)
+        got = Cube.from_zarr(spark, p).collect()
+        assert np.array_equal(got["v"], b["v"]) and got["mask"].tolist() == [1, 0, 1] and got["year"] == 1979
+    assert t.drop_dims("x").eager.keys() == {"year"} and t.select(["v", "mask"]).eager.keys() == {"mask"} and t.replace_dims(t=9).sizes["t"] == 9
+    for bad in (lambda: t.replace_dims(x=9), lambda: t.with_values(mask=(("x",), [1])), lambda: t.with_values(v=((), 1))):
+        with pytest.raises(ValueError):
+            bad()
