@@ -1,15 +1,16 @@
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from test_dedup import brute_spans, components, sets_of
 from test_tables import WORD, brute_targets
-from test_text import labelled
+from test_text import labelled, naive
 
 import __spark_entry__ as entry
 import corpus_pipeline as P
-from tessel.llm import mixing, queries, toxicity
+from tessel.llm import license_scan, mixing, queries, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -116,3 +117,53 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
                 assert out.columns == docs.columns
                 assert name in ("mixing", "near_dup") or out.count() == docs.count()
         assert P.run(spark, path).count() >= len(data) // 8
+
+
+def test_toxicity_query_agrees_with_rules(spark, tables):
+    """Scores of the registered query against the grammar's rules on lists of words and the logistic function, for every document."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    g = toxicity.fit(docs, spark.read.parquet(f"{tables}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = queries.op1_toxicity(spark, tables).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        costs = naive(g, texts[r["doc_id"]])
+        z = np.dot(g.coef, [1.0, np.log1p(sum(costs)), np.log1p(len(costs)), np.log1p(len(texts[r["doc_id"]]) / 500)])
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z))) and r["clauses"] == len(costs) and r["predicted"] == (r["score"] >= 0.7)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_license_query_finds_planted_texts(spark, tmp_path):
+    """Whole licence texts in other dress (case, signs, spellings, line breaks, copyright lines) are found, each also twice; the same texts with a word more, less or other are not."""
+    import random
+
+    rng = random.Random(12)
+    texts = [*license_scan.KNOWN.items()] + [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(Path(license_scan.__file__).with_name("licenses").glob("*.txt"))]
+    rows, want = [], {}
+
+    def plant(text, name):
+        want[len(rows)] = name
+        rows.append((len(rows), text, "en", "s", len(text)))
+
+    british = {"license": "licence", "License": "Licence", "organization": "organisation", "behavior": "behaviour", "merchantability": "merchantability"}
+    for name, text in texts:
+        name = name.removesuffix(".regents")
+        words = text.split()
+        plant(text, name)
+        plant(text.upper(), name)
+        plant("Copyright (c) 2021 Jane Roe\n\n" + text, name)
+        plant(" ".join(words), name)
+        if "opyright (" not in text:  # a copyright statement ends with its line
+            plant("".join(rng.choice(" \n\t") if c == " " else c for c in text), name)
+        plant(" ".join(british.get(w, w) for w in words), name)
+        plant(text.replace(",", "").replace('"', "'"), name)
+        k = rng.randrange(2, len(words) - 1)
+        plant(" ".join([*words[:k], "zebra", *words[k:]]), None)
+        plant(" ".join([*words[:k], *words[k + 1 :]]) if len(set(words[k - 1 : k + 2])) == 3 and words[k].isalpha() else "zebra", None)
+        plant("See below.\n" + text, None)
+    plant("", None)
+    spark.createDataFrame(rows * 2, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_license_scan(spark, str(tmp_path)).collect()
+    assert len(got) == 2 * len(rows)
+    wrong = [(r["doc_id"], r["license"], want[r["doc_id"]], rows[r["doc_id"]][1][:60]) for r in got if r["license"] != want[r["doc_id"]]]
+    assert not wrong, wrong[:10]
