@@ -61,9 +61,11 @@ def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> C
 
 
 def small_join(left: DataFrame, right: DataFrame, on, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a narrow right side: broadcast when its counted rows are within the limit, else a shuffled join."""
-    if right.limit(limit + 1).count() <= limit:
-        right = F.broadcast(right)
+    """Join with a narrow right side: broadcast when its counted rows are within the limit, else a shuffled join.
+
+    For the latter the right side is stored first: a join of plain tables is one that adaptive execution splits where a key is hot.
+    """
+    right = F.broadcast(right) if right.limit(limit + 1).count() <= limit else materialize(right, "side")
     return left.join(right, on, how)
 
 

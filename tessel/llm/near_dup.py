@@ -149,16 +149,17 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """id, component (the smallest id reachable) of every id in edges (a, b): alternating large and small stars.
 
-    Each round is one small job whose result is a table in the shared folder; rounds grow with the logarithm of a component's diameter.
+    Each round's result is a table in the shared folder; rounds grow with the logarithm of a component's diameter. A centre's edges are not dealt by
+    centre: the smallest neighbours, one row for each node, are broadcast where they are few and else met in a join that can be split.
     """
     e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), label)
     ends = e.limit(1).count() == 0
     while not ends:
         both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = small_join(both.where("b > a"), low, "a", "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        small = small_join(large, low, "a", "inner").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         new = materialize(small, label)
         # stars are stable once no centre is itself a leaf and no leaf has two centres
         bad = new.groupBy("a").agg(F.count("*").alias("k"))
