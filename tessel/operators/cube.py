@@ -36,7 +36,10 @@ def block_of(cells: pa.Table, template: Template, names: Sequence[str], dims: Di
     n = math.prod(shape)
     at = np.zeros(len(cells), np.int64)
     for d, size in zip(dims, shape, strict=True):
-        at = at * size + (cells.column(d).to_numpy().astype(np.int64) - offsets[d])
+        place = cells.column(d).to_numpy().astype(np.int64) - offsets[d]
+        if len(place) and (place.min() < 0 or place.max() >= size):
+            raise ValueError(f"cells lie outside the {size} positions of {d!r} from {offsets[d]} on")
+        at = at * size + place
     if len(at) and np.bincount(at, minlength=n).max() > 1:
         raise ValueError(f"cells of the chunk at {dict(offsets)} are repeated")
     data = {}
@@ -581,6 +584,16 @@ class Cube:
             report = grid.drop("id").join(found, keys, "full").fillna(0, ["cells", "positions", "outside"]).withColumn("expected", size)
         return report.where("cells != expected OR positions != expected OR outside > 0")
 
+    def checked(self) -> Cube:
+        """The same cells; a job fails where a position lies outside its dimension. A column expression, so it costs no exchange (validate() finds gaps and repeats)."""
+        tables = {}
+        for dims, t in self.tables.items():
+            for d in dims:
+                bad = F.raise_error(F.concat(F.lit(f"position along {d!r} outside 0 to {self.template.sizes[d] - 1}: "), F.col(d).cast("string"))).cast("bigint")
+                t = t.withColumn(d, F.when((F.col(d) >= 0) & (F.col(d) < self.template.sizes[d]), F.col(d)).otherwise(bad))
+            tables[dims] = t
+        return replace(self, tables=tables, load=None, blocks=None)
+
     def observed(self, name: str) -> tuple[Cube, dict[Dims, Observation]]:
         """The same cube, and for each table an Observation of cells and present values, filled when an action runs."""
         seen, tables = {}, {}

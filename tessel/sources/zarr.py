@@ -768,6 +768,8 @@ def validate_chunk(key: ChunkKey, sizes: Mapping[str, int], template_sizes: Mapp
             raise ValueError(f"the chunk's labels along {d!r} differ from the template's")
     for d, n in sizes.items():
         o = key.offsets.get(d, 0)
+        if o < 0 or o and o >= template_sizes[d]:
+            raise ValueError(f"offset {o} lies outside the {template_sizes[d]} positions of {d!r}")
         if o % unit[d]:
             raise ValueError(f"offset {o} along {d!r} is no multiple of the stored chunk size {unit[d]}")
         if n % unit[d] and o + n != template_sizes[d]:
