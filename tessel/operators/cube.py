@@ -26,6 +26,7 @@ from ..plans.rechunking import rechunk_plan
 from ..sources.template import Template, Variable, numpy_type, spark_type
 from . import means
 from .block import Block, validate_block
+from .labels import stage
 
 Dims = tuple[str, ...]
 
@@ -594,21 +595,24 @@ class Cube:
             tables[dims] = t
         return replace(self, tables=tables, load=None, blocks=None)
 
-    def observed(self, name: str) -> tuple[Cube, dict[Dims, Observation]]:
-        """The same cube, and for each table an Observation of cells and present values, filled when an action runs."""
+    def observed(self, name: str, with_bytes: bool = False) -> tuple[Cube, dict[Dims, Observation]]:
+        """The same cube, and for each table an Observation of cells and present values (with_bytes: and bytes), filled when an action runs."""
         seen, tables = {}, {}
         for dims, t in self.tables.items():
             o = Observation(f"{name}:{','.join(dims)}")
-            tables[dims] = t.observe(o, F.count(F.lit(1)).alias("cells"), *[F.count(means.present(t, v)).alias(f"{v}_present") for v in self.names_over(dims)])
+            width = sum(self.template.variables[v].dtype.itemsize for v in self.names_over(dims))
+            size = [(F.count(F.lit(1)) * width).alias("bytes")] if with_bytes else []
+            tables[dims] = t.observe(o, F.count(F.lit(1)).alias("cells"), *size, *[F.count(means.present(t, v)).alias(f"{v}_present") for v in self.names_over(dims)])
             seen[dims] = o
         return replace(self, tables=tables, load=None, blocks=None), seen
 
     # ---- sinks ---------------------------------------------------------------------------------------------------------------------
 
-    def to_zarr(self, path: str, **options: Any) -> None:
+    def to_zarr(self, path: str, **options: Any) -> dict[str, float]:
+        """Write a store (options: see sources.zarr.write_cube); returns cells, bytes and seconds."""
         from ..sources.zarr import write_cube
 
-        write_cube(self, path, **options)
+        return write_cube(self, path, **options)
 
     @classmethod
     def from_zarr(cls, spark: SparkSession, path: str, chunks: Any = None, split_vars: bool = False) -> Cube:
@@ -630,7 +634,8 @@ class Cube:
 
             placed = t.withColumns({f"{d}_offset": G.offset_of(F.col(d), old[d]) for d in dims})
             two = lambda key, cells: run(key, cells, dims, names)  # noqa: E731, B023
-            done += placed.groupBy(*([f"{d}_offset" for d in dims] or [F.lit(0)])).applyInArrow(two, "done bigint").count()
+            with stage(t.sparkSession, "call a function on each block"):
+                done += placed.groupBy(*([f"{d}_offset" for d in dims] or [F.lit(0)])).applyInArrow(two, "done bigint").count()
         return done
 
     def to_parquet(self, path: str, dims: Dims | None = None) -> None:

@@ -11,9 +11,10 @@ import gzip
 import json
 import math
 import struct
+import time
 import warnings
 import zlib
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -26,6 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import grid as G
 from ..functions.key import ChunkKey
+from ..operators.labels import stage
 from .template import Template, Variable, spark_type
 
 # ---- stores -------------------------------------------------------------------------------------------------------------------------
@@ -776,8 +778,8 @@ def validate_chunk(key: ChunkKey, sizes: Mapping[str, int], template_sizes: Mapp
             raise ValueError(f"the chunk at offset {o} along {d!r} has {n} positions: not whole stored chunks of {unit[d]}, nor up to the end")
 
 
-def write_cells(df: DataFrame, dims: Sequence[str], metas: Mapping[str, ArrayMeta]) -> None:
-    """Write cells whose stored units are complete. One task writes each unit; missing cells keep the fill value where the type has NaN."""
+def write_cells(df: DataFrame, dims: Sequence[str], metas: Mapping[str, ArrayMeta]) -> int:
+    """Write cells whose stored units are complete; returns their number. One task writes each unit; missing cells keep the fill value where the type has NaN."""
     first = next(iter(metas.values()))
     unit, shape = first.unit(), first.shape
     names = list(metas)
@@ -801,7 +803,7 @@ def write_cells(df: DataFrame, dims: Sequence[str], metas: Mapping[str, ArrayMet
     keyed = df.select(*dims, *names).withColumns({f"at_{d}": G.index_of(F.col(d), u) for d, u in zip(dims, unit, strict=True)})
     keys = [f"at_{d}" for d in dims]
     done = keyed.groupBy(*(keys or [F.lit(0).alias("one")])).applyInArrow(run, "cells bigint")
-    done.agg(F.sum("cells")).collect()
+    return done.agg(F.coalesce(F.sum("cells"), F.lit(0))).first()[0]
 
 
 def write_blocks(blocks: DataFrame, dims: Sequence[str], metas: Mapping[str, ArrayMeta]) -> int:
@@ -829,8 +831,8 @@ def write_blocks(blocks: DataFrame, dims: Sequence[str], metas: Mapping[str, Arr
     return blocks.mapInArrow(run, "cells bigint").agg(F.coalesce(F.sum("cells"), F.lit(0))).first()[0]
 
 
-def write_cube(cube, path: str, zarr_chunks: Mapping[str, int] | int | str | None = None, zarr_shards: Any = None, zarr_chunks_per_shard: Any = None, zarr_format: int | None = None, encoding: Mapping[str, Mapping[str, Any]] | None = None, needs_setup: bool = True) -> None:
-    """Write a cube: metadata when the action runs, then every stored unit by one task.
+def write_cube(cube, path: str, zarr_chunks: Mapping[str, int] | int | str | None = None, zarr_shards: Any = None, zarr_chunks_per_shard: Any = None, zarr_format: int | None = None, encoding: Mapping[str, Mapping[str, Any]] | None = None, needs_setup: bool = True) -> dict[str, float]:
+    """Write a cube: metadata when the action runs, then every stored unit by one task. Returns cells, bytes (uncompressed) and seconds.
 
     Chunks that are at hand as blocks (made by a function, or whole units of another store) are written as they are; else cells are dealt by stored unit.
 
@@ -856,25 +858,35 @@ def write_cube(cube, path: str, zarr_chunks: Mapping[str, int] | int | str | Non
     else:
         check_multiples("chunks", chunks, cube.chunks, sizes)
     metas = setup(t, path, chunks, shards, zarr_format, encoding) if needs_setup else {n: open_array(f"{path.rstrip('/')}/{n}") for n in t.variables}
+    done = {"cells": 0, "bytes": 0}
+    began = time.perf_counter()
     for dims, df in cube.tables.items():
         names = [n for n in cube.names_over(dims)]
         own = {n: metas[n] for n in names}
         order = t.variables[names[0]].dims
-        df.sparkSession.sparkContext.setJobDescription(f"write {', '.join(names)} to {path}")
-        if order == dims and dims and (blocks := cube._as_blocks()) is not None:
-            write_blocks(blocks, order, own)
-        elif any(t.variables[n].dims != order for n in names):
-            for n in names:
-                write_cells(df, t.variables[n].dims, {n: own[n]})
-        else:
-            write_cells(df, order, own)
-        df.sparkSession.sparkContext.setJobDescription(None)
+        with stage(df.sparkSession, f"write {', '.join(names)} to {path}"):
+            if order == dims and dims and (blocks := cube._as_blocks()) is not None:
+                cells = write_blocks(blocks, order, own)
+            elif any(t.variables[n].dims != order for n in names):
+                cells = [write_cells(df, t.variables[n].dims, {n: own[n]}) for n in names][0]
+            else:
+                cells = write_cells(df, order, own)
+        done["cells"] += cells
+        done["bytes"] += cells * sum(t.variables[n].dtype.itemsize for n in names)
+    return {**done, "seconds": time.perf_counter() - began}
+
 
+def write_dataframe(df: DataFrame, dims: Sequence[str], path: str, template: Template | Callable[[], Template] | None = None, chunks: Any = -1, **options: Any) -> dict[str, float]:
+    """Write a cell table; returns what write_cube does. A template may also be a function that makes it, called when the action runs.
 
-def write_dataframe(df: DataFrame, dims: Sequence[str], path: str, template: Template | None = None, chunks: Any = -1, **options: Any) -> None:
-    """Write a cell table. Without a template its sizes are found in the data, which takes a pass over it and is better avoided."""
+    Without a template its sizes are found in the data, which takes a pass over it and is better avoided.
+    """
     from ..operators.cube import Cube
 
+    if callable(template):
+        if not options.get("needs_setup", True):
+            raise ValueError("needs_setup=False needs a template that is there already")
+        template = template()
     if template is None:
         if not options.get("needs_setup", True):
             raise ValueError("needs_setup=False needs a template")
@@ -885,4 +897,4 @@ def write_dataframe(df: DataFrame, dims: Sequence[str], path: str, template: Tem
     else:
         grid = G.normalize_chunks(chunks, template.sizes, template.itemsizes(), False, template.sizes)
         cube = Cube({tuple(dims): df.select(*dims, *template.variables)}, template, grid)
-    write_cube(cube, path, **options)
+    return write_cube(cube, path, **options)

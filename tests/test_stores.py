@@ -323,3 +323,26 @@ def test_eager_variables_are_stored_with_the_metadata(spark, tmp_path):
     for bad in (lambda: t.replace_dims(x=9), lambda: t.with_values(mask=(("x",), [1])), lambda: t.with_values(v=((), 1))):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_metrics_labels_and_deferred_templates(spark, tmp_path):
+    from tessel.operators.labels import stage, unique
+
+    df = spark.range(10).selectExpr("id AS x", "double(id) AS v")
+    c = Cube.from_dataframe(df, ["x"], chunks=4)
+    told = c.to_zarr(str(tmp_path / "a"))
+    assert (told["cells"], told["bytes"]) == (10, 80) and told["seconds"] > 0
+    again = Cube.from_zarr(spark, str(tmp_path / "a")).to_zarr(str(tmp_path / "b"))
+    assert (again["cells"], again["bytes"]) == (10, 80)
+    zarr.write_dataframe(df, ["x"], str(tmp_path / "c"), lambda: c.template, chunks=5)
+    assert Cube.from_zarr(spark, str(tmp_path / "c")).chunks == {"x": 5}
+    with pytest.raises(ValueError):
+        zarr.write_dataframe(df, ["x"], str(tmp_path / "d"), lambda: c.template, needs_setup=False)
+    seen, counts = c.observed("sized", with_bytes=True)
+    seen.df.count()
+    assert counts[("x",)].get == {"cells": 10, "bytes": 80, "v_present": 10}
+    assert (unique("a stage"), unique("a stage"), unique("another")) == ("a stage", "a stage-1", "another")
+    with stage(spark, "outer") as name:
+        with stage(spark, "outer") as inner:
+            assert spark.sparkContext.getLocalProperty("spark.job.description") == inner == "outer-1"
+        assert spark.sparkContext.getLocalProperty("spark.job.description") == name == "outer"
