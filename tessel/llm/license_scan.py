@@ -45,16 +45,22 @@ _COPYRIGHT = re.compile(
     re.I | re.M | re.X,
 )
 _CONTRIBUTORS = re.compile(r"\bneither the names? of .{1,120}? nor the names of (?:its|their|any|the) contributors\b")
-_OTHER = re.compile(r"[^\w]+|_+")
+#: Every copyright statement has one of these.
+_SIGNS = re.compile(r"copyright|\(c\)|©|all rights reserved", re.I)
+_WORDS = re.compile(r"[^\W_]+")
 _SAME = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, SPELLINGS), key=len, reverse=True)) + r")\b")
+#: A text without any of these words has no spelling to make equal.
+_FIRST = frozenset(k.split()[0] for k in SPELLINGS)
 
 
 def canonical(text: str | None) -> str:
     """Lower case, no copyright statements, words parted by single blanks, spellings and the name in BSD's third condition made equal."""
     if not text:
         return ""
-    t = _OTHER.sub(" ", _COPYRIGHT.sub("", text).casefold()).strip()
-    t = _SAME.sub(lambda m: SPELLINGS[m.group()], t)
+    words = _WORDS.findall((_COPYRIGHT.sub("", text) if _SIGNS.search(text) else text).casefold())
+    t = " ".join(words)
+    if not _FIRST.isdisjoint(words):
+        t = _SAME.sub(lambda m: SPELLINGS[m.group()], t)
     return _CONTRIBUTORS.sub("neither the name of the copyright holder nor the names of its contributors", t) if "nor the names of" in t else t
 
 
