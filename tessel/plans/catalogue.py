@@ -445,7 +445,7 @@ def custom_sink(spark, sf_dir):
         zarr.put(f"{path}/{key.offsets['event_id']}.txt", f"{block['value'].size} {float(block['value'].sum())!r}".encode())
 
     chunks = events(spark, sf_dir)["value"].foreach_block(save)
-    parts = spark.read.text(path).select(F.split("value", " ").alias("x"))
+    parts = spark.read.text(f"file://{path}" if path.startswith("/") else path).select(F.split("value", " ").alias("x"))
     return parts.agg(F.lit(chunks).cast("long").alias("chunks"), F.sum(F.col("x")[0].cast("long")).alias("cells"), F.round(F.sum(F.col("x")[1].cast("double")), 4).alias("total"))
 
 
