@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_batches, lean, named, slices, utf8
+from .common import LOWER, RollingHash, bounded_batches, lean, named, slices, utf8
 
 CAPACITY = 4096
 PIECE, FINEST = 1024, 16
@@ -193,18 +193,21 @@ class WordEncoder:
     For tokenizers that lower-case, drop white space and split at changes between letters, single digits and other signs, such as
     word_bpe_49k.json. Texts are cut where no token can cross: at blanks, tabs and line feeds, and inside ASCII between letters, digits and signs,
     but not at an apostrophe or a wide character, nor in a word with the beginning of a special token. Only new pieces go to the tokenizer: words of small
-    Latin letters to its model, others joined by a sign that none of them has. Pieces are kept in two generations: what the last KEEP new pieces' time did not use is forgotten.
+    Latin letters to its model, others joined by a sign that none of them has. Pieces met before are known by two independent 64-bit hashes, in sorted arrays; beyond
+    KEEP of them those that were not used for the longest time are forgotten.
     """
 
-    KEEP = 120_000
+    KEEP = 400_000
 
     def __init__(self, path: str, last: int | None = 2):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.last = last
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.known = np.empty((2, 0), np.uint64)  # hashes, sorted by the first
+        self.place = np.empty((3, 0), np.int64)  # of each: where its ids begin, their number, when it was used last
+        self.flat = np.empty(0, np.uint32)
+        self.turn = 0
         self.plain = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
         self.joint = self.tokenizer.encode("\x01", add_special_tokens=False).ids
 
@@ -223,33 +226,56 @@ class WordEncoder:
             return [raw[a:b] for a, b in zip(begin, end, strict=True)]
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
 
-    def _ids(self, pieces: list[bytes]) -> list[bytes]:
-        young, old = self.young, self.old
-        out = list(map(young.get, pieces))
-        missing = [k for k, v in enumerate(out) if v is None]
-        new = []
-        for k in missing:
-            if (v := old.get(pieces[k])) is None:
-                new.append(k)
-            else:
-                out[k] = young[pieces[k]] = v
+    def _new(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, by the tokenizer."""
         # small Latin letters alone are one word of the tokenizer and go to its model at once
-        tokenize, words = self.tokenizer.model.tokenize, self.plain.fullmatch
+        tokenize, plain = self.tokenizer.model.tokenize, self.plain.fullmatch
+        out: list[bytes] = []
         mixed = []
-        for k in new:
-            if words(p := pieces[k]):
+        for k, p in enumerate(pieces):
+            if plain(p):
                 sign = p.decode() if p.isascii() else p.decode("latin-1").translate(_BYTE_SIGNS)
-                out[k] = young[p] = array("I", [t.id for t in tokenize(sign)]).tobytes()
+                out.append(array("I", [t.id for t in tokenize(sign)]).tobytes())
             else:
                 mixed.append(k)
+                out.append(b"")
         for at in range(0, len(mixed), 20_000):
             part = mixed[at : at + 20_000]
             for k, v in zip(part, self._encode([pieces[k] for k in part]), strict=True):
-                out[k] = young[pieces[k]] = v
-        if len(young) > self.KEEP:
-            self.young, self.old = {}, young
+                out[k] = v
         return out
 
+    def _ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, their number for each piece)."""
+        self.turn += 1
+        data, offs = utf8(pieces)
+        h = np.stack([RollingHash(data, which).of(offs[:-1], offs[1:]) for which in (0, 1)])
+        begin, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        at = np.searchsorted(self.known[0], h[0])
+        there = np.flatnonzero(at < self.known.shape[1])
+        there = there[(self.known[:, at[there]] == h[:, there]).all(axis=0)]
+        begin[there], size[there] = self.place[:2, at[there]]
+        self.place[2, at[there]] = self.turn
+        missing = np.ones(len(pieces), bool)
+        missing[there] = False
+        new = np.flatnonzero(missing)
+        if len(new):
+            ids = self._new(pieces.take(pa.array(new)).to_pylist())
+            size[new] = [len(v) // 4 for v in ids]
+            begin[new] = len(self.flat) + np.cumsum(size[new]) - size[new]
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32)])
+            new = new[np.argsort(h[0, new])]
+            to = np.searchsorted(self.known[0], h[0, new])
+            self.known = np.insert(self.known, to, h[:, new], axis=1)
+            self.place = np.insert(self.place, to, np.stack([begin[new], size[new], np.full(len(new), self.turn)]), axis=1)
+        flat = _ranges(self.flat, begin, size)
+        if self.known.shape[1] > self.KEEP:
+            keep = self.place[2] > np.partition(self.place[2], self.KEEP // 2)[self.KEEP // 2]
+            self.known, self.place = self.known[:, keep], self.place[:, keep]
+            self.flat = _ranges(self.flat, self.place[0], self.place[1])
+            self.place[0] = np.cumsum(self.place[1]) - self.place[1]
+        return flat, size
+
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, each text's first position and the end)."""
         from .token_count import _words
@@ -257,17 +283,22 @@ class WordEncoder:
         data, offs = utf8(text)
         starts, stops, data, per_doc = _pieces(data, offs)
         words = _words(data, starts, stops).dictionary_encode()
-        ids = self._ids(words.dictionary.to_pylist())
-        at, mark = words.indices.to_numpy(), np.arange(len(per_doc))
+        ids, size = self._ids(words.dictionary)
+        at = words.indices.to_numpy()
         if self.last is not None:  # one more word, that closes each text
-            at = np.insert(at, per_doc[1:], np.int32(len(ids)))
-            ids.append(np.uint32(self.last).tobytes())
-            per_doc = per_doc + mark
-        size = np.array([len(v) for v in ids], np.int64) // 4
-        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)])), pa.array(np.frombuffer(b"".join(ids), np.uint32))).take(pa.array(at))
+            at = np.insert(at, per_doc[1:], np.int32(len(size)))
+            ids, size = np.append(ids, np.uint32(self.last)), np.append(size, 1)
+            per_doc = per_doc + np.arange(len(per_doc))
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)])), pa.array(ids)).take(pa.array(at))
         return lists.values.to_numpy(), lists.offsets.to_numpy()[per_doc]
 
 
+def _ranges(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The ranges of flat, one behind another."""
+    ends = np.cumsum(size)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
+
+
 def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, stop) of the pieces that no token crosses, the bytes with A-Z lower-cased, and the number of pieces before each text."""
     n = len(data)
