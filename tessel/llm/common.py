@@ -147,6 +147,42 @@ class RollingHash:
         return (h ^ (h >> U(32))) * U(0x9E3779B97F4A7C15)
 
 
+class Memory:
+    """Whole numbers for words met before, known by two independent 64-bit hashes; beyond keep words the longest unused are forgotten."""
+
+    def __init__(self, columns: int, keep: int):
+        self.keep, self.turn = keep, 0
+        self.hashes = np.empty((2, 0), np.uint64)  # sorted by the first
+        self.values = np.empty((columns + 1, 0), np.int64)  # and when each was used last
+
+    def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, values, places in words of those that are not known, whose values are 0)."""
+        self.turn += 1
+        data, offs = utf8(words)
+        h = np.stack([RollingHash(data, which).of(offs[:-1], offs[1:]) for which in (0, 1)])
+        out = np.zeros((len(self.values) - 1, len(words)), np.int64)
+        at = np.searchsorted(self.hashes[0], h[0])
+        there = np.flatnonzero(at < self.hashes.shape[1])
+        there = there[(self.hashes[:, at[there]] == h[:, there]).all(axis=0)]
+        out[:, there] = self.values[:-1, at[there]]
+        self.values[-1, at[there]] = self.turn
+        missing = np.ones(len(words), bool)
+        missing[there] = False
+        return h, out, np.flatnonzero(missing)
+
+    def add(self, hashes: np.ndarray, values: np.ndarray) -> np.ndarray | None:
+        """Remember new words. Where some were forgotten, the old places of those that are left."""
+        order = np.argsort(hashes[0])
+        to = np.searchsorted(self.hashes[0], hashes[0, order])
+        self.hashes = np.insert(self.hashes, to, hashes[:, order], axis=1)
+        self.values = np.insert(self.values, to, np.concatenate([values[:, order], np.full((1, len(order)), self.turn)]), axis=1)
+        if len(self.hashes[0]) <= self.keep:
+            return None
+        left = np.flatnonzero(self.values[-1] > np.partition(self.values[-1], self.keep // 2)[self.keep // 2])
+        self.hashes, self.values = self.hashes[:, left], self.values[:, left]
+        return left
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)

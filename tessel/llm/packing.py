@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, RollingHash, bounded_batches, lean, named, slices, utf8
+from .common import LOWER, Memory, bounded_batches, lean, named, slices, utf8
 
 CAPACITY = 4096
 PIECE, FINEST = 1024, 16
@@ -193,8 +193,7 @@ class WordEncoder:
     For tokenizers that lower-case, drop white space and split at changes between letters, single digits and other signs, such as
     word_bpe_49k.json. Texts are cut where no token can cross: at blanks, tabs and line feeds, and inside ASCII between letters, digits and signs,
     but not at an apostrophe or a wide character, nor in a word with the beginning of a special token. Only new pieces go to the tokenizer: words of small
-    Latin letters to its model, others joined by a sign that none of them has. Pieces met before are known by two independent 64-bit hashes, in sorted arrays; beyond
-    KEEP of them those that were not used for the longest time are forgotten.
+    Latin letters to its model, others joined by a sign that none of them has. At most KEEP pieces met before are remembered.
     """
 
     KEEP = 400_000
@@ -204,10 +203,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.last = last
-        self.known = np.empty((2, 0), np.uint64)  # hashes, sorted by the first
-        self.place = np.empty((3, 0), np.int64)  # of each: where its ids begin, their number, when it was used last
+        self.known = Memory(2, self.KEEP)  # of each piece: where its ids begin in flat, and their number
         self.flat = np.empty(0, np.uint32)
-        self.turn = 0
         self.plain = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
         self.joint = self.tokenizer.encode("\x01", add_special_tokens=False).ids
 
@@ -247,33 +244,19 @@ class WordEncoder:
 
     def _ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces, their number for each piece)."""
-        self.turn += 1
-        data, offs = utf8(pieces)
-        h = np.stack([RollingHash(data, which).of(offs[:-1], offs[1:]) for which in (0, 1)])
-        begin, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
-        at = np.searchsorted(self.known[0], h[0])
-        there = np.flatnonzero(at < self.known.shape[1])
-        there = there[(self.known[:, at[there]] == h[:, there]).all(axis=0)]
-        begin[there], size[there] = self.place[:2, at[there]]
-        self.place[2, at[there]] = self.turn
-        missing = np.ones(len(pieces), bool)
-        missing[there] = False
-        new = np.flatnonzero(missing)
+        h, (begin, size), new = self.known.find(pieces)
+        left = None
         if len(new):
             ids = self._new(pieces.take(pa.array(new)).to_pylist())
             size[new] = [len(v) // 4 for v in ids]
             begin[new] = len(self.flat) + np.cumsum(size[new]) - size[new]
             self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32)])
-            new = new[np.argsort(h[0, new])]
-            to = np.searchsorted(self.known[0], h[0, new])
-            self.known = np.insert(self.known, to, h[:, new], axis=1)
-            self.place = np.insert(self.place, to, np.stack([begin[new], size[new], np.full(len(new), self.turn)]), axis=1)
+            left = self.known.add(h[:, new], np.stack([begin[new], size[new]]))
         flat = _ranges(self.flat, begin, size)
-        if self.known.shape[1] > self.KEEP:
-            keep = self.place[2] > np.partition(self.place[2], self.KEEP // 2)[self.KEEP // 2]
-            self.known, self.place = self.known[:, keep], self.place[:, keep]
-            self.flat = _ranges(self.flat, self.place[0], self.place[1])
-            self.place[0] = np.cumsum(self.place[1]) - self.place[1]
+        if left is not None:
+            own = self.known.values
+            self.flat = _ranges(self.flat, own[0], own[1])
+            own[0] = np.cumsum(own[1]) - own[1]
         return flat, size
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, lean, named, slices, utf8, word_bounds
+from .common import Memory, bounded_batches, lean, named, slices, utf8, word_bounds
+
+#: Words whose counts a worker remembers.
+KEEP = 400_000
 
 
 def byte_vocabulary(path: str) -> list[bytes]:
@@ -147,7 +150,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     """n_words, n_tokens and n_bytes of every whole text; null and empty texts have 0 of each, repeated rows stay; very long texts and words are counted whole.
 
     The file is read on the driver; the automaton goes to the workers with the function (a few MB, fixed by the vocabulary).
-    Each batch looks up only its distinct words, and a worker remembers the counts of short words between batches.
+    Each batch looks up only its distinct words, and a worker remembers the counts of KEEP words between batches.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -157,7 +160,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        known = Memory(1, KEEP)
         machine = automaton.value
         for batch in batches:
             data, offs = utf8(batch.column(1))
@@ -167,13 +170,11 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
                 counts = np.zeros(len(starts) + 1, np.int64)
                 if len(starts):
                     words = _words(part, starts, stops).dictionary_encode()
-                    distinct = words.dictionary.to_pylist()
-                    new = [w for w in distinct if w not in known]
-                    found = dict(zip(new, machine.counts(new).tolist(), strict=True))
-                    each = np.array([known[w] if w in known else found[w] for w in distinct], np.int64)
-                    np.cumsum(each[words.indices.to_numpy()], out=counts[1:])
-                    if len(known) < 200_000:
-                        known.update((w, c) for w, c in found.items() if len(w) <= 16)
+                    h, each, new = known.find(words.dictionary)
+                    if len(new):
+                        each[0, new] = machine.counts(words.dictionary.take(pa.array(new)).to_pylist())
+                        known.add(h[:, new], each[:, new])
+                    np.cumsum(each[0, words.indices.to_numpy()], out=counts[1:])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(np.diff(per_doc)), pa.array(np.diff(counts[per_doc])), pa.array(np.diff(o))], names=["row_id", "n_words", "n_tokens", "n_bytes"]
                 )
