@@ -28,6 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions import grid as G
 from ..functions.key import ChunkKey
 from ..operators.labels import stage
+from ..plans.rechunking import count_pieces
 from .template import Template, Variable, spark_type
 
 # ---- stores -------------------------------------------------------------------------------------------------------------------------
@@ -605,8 +606,10 @@ class Stored:
         pieces = units = 1
         for d, n, u in zip(m.dims, m.shape, m.unit(), strict=True):
             a, b = self.bounds.get(d, (0, n))
-            cuts = {x for x in range(a, b, chunks[d])} | {x for x in range(a // u * u, b, u) if x > a}
-            pieces, units = pieces * max(1, len(cuts)), units * max(1, -(-b // u) - a // u)
+            met = max(1, -(-b // u) - a // u)
+            # where the bounds begin inside a unit, the two grids are taken to have no cut in common
+            cuts = count_pieces(b - a, chunks[d], u) if a % u == 0 else met - 1 + -(-(b - a) // chunks[d])
+            pieces, units = pieces * max(1, cuts), units * met
         if own != tuple(dims) or pieces > 2 * units:
             return None
         return self._frame(own, names, blocks=json.dumps({d: chunks[d] for d in own}))
