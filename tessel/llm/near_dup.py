@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, RollingHash, U, bounded_batches, lean, materialize, mix, named, seeds, slices, small_join, utf8, word_bounds
+from .common import BROADCAST_ROWS, LOWER, RollingHash, U, bounded_batches, lean, materialize, mix, named, seeds, slices, small_join, utf8, word_bounds
 
 SAMPLES, ROWS = 128, 4
 BITS = 512
@@ -153,18 +153,22 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     centre: the smallest neighbours, one row for each node, are broadcast where they are few and else met in a join that can be split.
     """
     e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), label)
-    ends = e.limit(1).count() == 0
+    edges_left = e.count()
+    ends = not edges_left
     while not ends:
+        few = 2 * edges_left <= BROADCAST_ROWS  # of which there are at most as many nodes
+        met = lambda left, low: left.join(F.broadcast(low) if few else materialize(low, label), "a")  # noqa: B023, E731
         both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = small_join(both.where("b > a"), low, "a", "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = met(both.where("b > a"), low).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = small_join(large, low, "a", "inner").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        new = materialize(small, label)
+        small = met(large, low).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        e = materialize(small, label)
         # stars are stable once no centre is itself a leaf and no leaf has two centres
-        bad = new.groupBy("a").agg(F.count("*").alias("k"))
-        ends = not bad.where("k > 1").limit(1).count() and not new.select(F.col("b").alias("a")).distinct().join(bad, "a", "left_semi").limit(1).count()
-        e = new
+        leaves = e.groupBy("a").agg(F.count("*").alias("k"))
+        centres = e.select(F.col("b").alias("a"), F.lit(1).alias("centre")).distinct()
+        seen = leaves.join(centres, "a", "left").agg(F.sum("k").alias("edges"), F.max("k").alias("k"), F.max("centre").alias("centre")).first()
+        edges_left, ends = seen["edges"] or 0, (seen["k"] or 1) == 1 and seen["centre"] is None
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
