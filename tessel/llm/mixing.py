@@ -11,8 +11,6 @@ Randomness comes from hashes of doc_id, text and a seed and groups from hashes t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window

@@ -19,7 +19,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import Memory, bounded_batches, lean, named, slices, utf8, word_bounds
