@@ -282,8 +282,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # a stem's log odds, and how much likelier its labels are with a share of their own than with everybody's: chance must not do it among millions of stems
     p = n_toxic / len(picked)
     odds = F.log((F.col("t") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("c") + 0.5) / (n_clean + 1.0))
-    found = counts.withColumn("odds", odds).where((F.col("t") > EVIDENCE / -math.log(p) / 2) & (F.col("odds") > ODDS)).collect()
-    found = [r for r in found if _evidence(r["t"], r["c"], p) > EVIDENCE]
+    t, c = F.col("t"), F.col("c")
+    share = lambda k, q: F.when(k > 0, k * F.log(k / (t + c) / q)).otherwise(0.0)
+    found = counts.withColumn("odds", odds).where((share(t, p) + share(c, 1 - p) > EVIDENCE) & (F.col("odds") > ODDS)).collect()
     # copies of one toxic text repeat all its words: only places with other words around them count as evidence
     tried = frozenset(r["stem"] for r in found)
     places = rows.where("label = 1").mapInArrow(lean(lambda batches: _places(batches, tried)), "stem string, place string")
@@ -294,10 +295,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     kept: dict[str, tuple[int, int]] = {}
     for r in sorted(found, key=lambda r: (len(r["stem"]), r["stem"])):
         # of stems with the same texts the longest says most; beyond a kept shorter one a longer one needs as much evidence again
-        s, t, c = r["stem"], min(r["t"], places[r["stem"]]), r["c"]
+        s, toxic, clean = r["stem"], min(r["t"], places[r["stem"]]), r["c"]
         base = next((kept[s[:n]] for n in range(len(s) - 1, 2, -1) if s[:n] in kept), None)
-        if s not in longer and (base is None or t * base[1] > c * base[0] and _evidence(t, c, base[0] / sum(base)) > EVIDENCE):
-            kept[s] = (t, c)
+        if s not in longer and (base is None or toxic * base[1] > clean * base[0] and _evidence(toxic, clean, base[0] / sum(base)) > EVIDENCE):
+            kept[s] = (toxic, clean)
     threatening = [t.rstrip("*") for t in THREATS]
     for r in found:
         if (s := r["stem"]) in kept:
