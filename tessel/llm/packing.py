@@ -151,7 +151,7 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[pa.Array], tuple[np.nd
         for batch in batches:
             text = batch.column(1)
             _, offs = utf8(text)
-            for i, j in slices(offs, 1 << 20):
+            for i, j in slices(offs, 1 << 21):
                 ids, first = encode(text.slice(i, j - i))
                 data = np.ascontiguousarray(ids, np.uint32)
                 blob = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((first * 4).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
