@@ -171,13 +171,19 @@ def rechunk_pencil(spark, sf_dir):
 
 @query("SELECT p_partkey, 'p_size' AS variable, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part")
 def split_vars(spark, sf_dir):
+    return parts(spark, sf_dir).split_variables().long()
+
+
+def parts(spark: SparkSession, sf_dir: str) -> Cube:
+    """part as p_size(p_partkey), p_retailprice(p_partkey)."""
     p = table(spark, sf_dir, "part").withColumn("p_size", F.col("p_size").cast("double"))
-    return Cube.from_dataframe(p, ["p_partkey"], ["p_size", "p_retailprice"], chunks=100).split_variables().long()
+    return Cube.from_dataframe(p, ["p_partkey"], ["p_size", "p_retailprice"], chunks=100)
 
 
 @query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part")
 def merge_vars(spark, sf_dir):
-    return Cube.from_long(split_vars(spark, sf_dir), ["p_partkey"], ["p_size", "p_retailprice"]).df
+    c = parts(spark, sf_dir)
+    return Cube.from_long(c.split_variables().long(), ["p_partkey"], ["p_size", "p_retailprice"], c.chunks, c.sizes).df
 
 
 @query("SELECT c_custkey AS i, c_acctbal, s_acctbal FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")
